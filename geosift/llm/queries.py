@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, packing, pii, quality, secrets, simhash, token_counts
+from . import bpe_codec, chat, packing, pii, quality, secrets, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing, op2_chat_format, op3_pii, op4_quality_rules, op5_simhash,
-        op7_secrets, op8_token_counts, op10_bpe_codec,
+        op6_run_index, op7_secrets, op8_token_counts, op10_bpe_codec,
     ]
     return {q.__name__: q for q in found}
 
