@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,6 +196,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     return calibrate(model, scores, good[held])
 
 
+def judge(raw: bytes, model: Model | None, least_quality: float, least_words: int, most_repeated: int) -> tuple:
+    """The statistics, base_failed, quality and kept of one whole text."""
+    ids, distinct = word_ids(raw)
+    stats = text_stats(raw, ids, len(distinct))
+    failed = stats[0] < least_words or 100 * stats[4] > most_repeated * stats[0]
+    p = model.probability(model.score(raw, ids, distinct)) if model else None
+    return (*stats, failed, p, not failed and (p is None or p >= least_quality))
+
+
 RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
 
 
@@ -221,13 +231,7 @@ def rules(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RULES.split(", ")]
         for b in batches:
-            out = []
-            for raw in b.column(1).to_pylist():
-                ids, distinct = word_ids(raw)
-                stats = text_stats(raw, ids, len(distinct))
-                failed = stats[0] < least_words or 100 * stats[4] > most_repeated * stats[0]
-                p = model.probability(model.score(raw, ids, distinct)) if model else None
-                out.append((*stats, failed, p, not failed and (p is None or p >= least_quality)))
+            out = [judge(raw, model, least_quality, least_words, most_repeated) for raw in b.column(1).to_pylist()]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
@@ -236,13 +240,13 @@ def rules(
     return raw.mapInArrow(run, RULES)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that pass, whole and unchanged; rows are judged by their doc_id's verdicts.
+def keep_good(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, least_words: int = 50, most_repeated: int = 50, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows whose text passes, whole and unchanged: a filter over the text, without a shuffle."""
+    model = train(docs, labels, fit_rows)
+    small_batches(docs.sparkSession)
 
-    Of rows that share a doc_id all stay if one of them passes; a null doc_id's
-    rows can't be told apart and stay only if ``rules`` keeps none of them out.
-    """
-    verdicts = rules(docs, labels, **options)
-    by_id = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.min("kept").alias("all_kept"))
-    good = by_id.where("case when doc_id is null then all_kept else kept end").select(F.col("doc_id").alias("good_id"))
-    return docs.join(good, docs.doc_id.eqNullSafe(good.good_id), "left_semi")
+    @F.pandas_udf("boolean")
+    def passes(raws: pd.Series) -> pd.Series:
+        return pd.Series([judge(raw, model, least_quality, least_words, most_repeated)[-1] for raw in raws], dtype=bool)
+
+    return docs.where(passes(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

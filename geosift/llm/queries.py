@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, packing, pii, quality, secrets, simhash, substring_dedup, token_counts
+from . import ann, bpe_codec, chat, packing, pii, quality, secrets, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing, op2_chat_format, op3_pii, op4_quality_rules, op5_simhash,
-        op6_run_index, op7_secrets, op8_token_counts, op10_bpe_codec,
+        op6_run_index, op7_secrets, op8_token_counts, op9_nn_descent, op10_bpe_codec,
     ]
     return {q.__name__: q for q in found}
 

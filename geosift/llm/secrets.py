@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts
@@ -56,7 +57,11 @@ def weak_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-PARSED = f"row_id long, doc_id long, base {SPANS}, weak {SPANS}"
+PARSED = f"row_id long, doc_id long, content string, base {SPANS}, weak {SPANS}"
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -65,13 +70,14 @@ def parse(docs: DataFrame) -> DataFrame:
         rows = lambda spans: [{"start": s, "kind": k, "end": e} for s, k, e in spans]
         for b in batches:
             bases, weaks = [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(3).to_pylist():
                 base = base_spans(text)
                 bases.append(rows(base))
                 weaks.append(rows(weak_spans(text, base)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, kind), pa.array(weaks, kind)], ["row_id", "doc_id", "base", "weak"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bases, kind), pa.array(weaks, kind)], ["row_id", "doc_id", "content", "base", "weak"])
 
-    return texts(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(run, PARSED)
+    rows = texts(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", _digest().alias("content"), "text")
+    return rows.mapInArrow(run, PARSED)
 
 
 #: Which roles a part plays: an access key identifies; assigned and hexadecimal values are secrets.
@@ -111,3 +117,37 @@ def _parts(parsed: DataFrame) -> DataFrame:
     some = parsed.where("size(weak) > 0")
     strong = some.select("row_id", F.inline("base")).withColumn("weak", F.lit(False))
     return strong.union(some.select("row_id", F.inline("weak")).withColumn("weak", F.lit(True)))
+
+
+def redacted(docs: DataFrame, scope: int = 400) -> DataFrame:
+    """All rows of ``docs`` with each finding in ``text`` replaced by its kind in brackets, ``n_chars`` counted anew.
+
+    Findings that overlap are replaced as one, by the kind of the first.  Spans
+    are met again by a digest of the text, since they follow from it alone; the
+    table of texts with findings is broadcast only if Spark finds it small.
+    """
+    parsed = stored(parse(docs), "secrets")
+    linked = link(_parts(parsed), scope).join(parsed.select("row_id", "content"), "row_id")
+    every = parsed.select("content", F.inline("base")).union(linked.select("content", "start", "kind", "end"))
+    found = stored(
+        every.groupBy(F.col("content").alias("_secrets_of")).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("_secrets")), "found"
+    )
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, spans):
+            if found is not None and text is not None:
+                parts, at = [], 0
+                for x in found:
+                    if x["start"] >= at:
+                        parts += [text[at : x["start"]], f"[{KINDS[x['kind']]}]"]
+                    at = max(at, x["end"])
+                text = "".join([*parts, text[at:]])
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    joined = docs.join(found, _digest() == F.col("_secrets_of"), "left").withColumn("text", mask("text", "_secrets"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_secrets_of").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return joined.select(*docs.columns)

@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -236,3 +237,33 @@ def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return scanned.select("doc_id", "content", "n_bytes", "sha256").join(cut, F.col("content") == F.col("of"), "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256")
     )
+
+
+def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """All rows of ``docs`` with the repeated bytes gone from ``text``, ``n_chars`` counted anew.
+
+    A character of which only a part is left goes too.  Rows stay even where
+    nothing is left of the text; null texts stay null.
+    """
+    _, spans = repeats(docs, least)
+    found = stored(spans.select(F.col("content").alias("_repeats_of"), F.col("spans").alias("_repeats")), "repeats")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for text, spans in zip(texts, gone):
+            if spans is None or text is None:
+                out.append(text)
+                continue
+            raw, parts, at = text.encode(), [], 0
+            for s, e in [*merged([(x["s"], x["e"]) for x in spans]), (len(raw), len(raw))]:
+                parts.append(raw[at:s].decode(errors="ignore"))
+                at = e
+            out.append("".join(parts))
+        return pd.Series(out, dtype=object)
+
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    joined = docs.join(found, digest == F.col("_repeats_of"), "left").withColumn("text", cut("text", "_repeats"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_repeats_of").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return joined.select(*docs.columns)
