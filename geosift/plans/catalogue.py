@@ -299,13 +299,13 @@ def asof_last_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.withColumn("said", said).where("role = 'assistant'").select("conv_id", "turn", F.md5("said").alias("asked"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn - place <= 2 THEN place END AS system_turn FROM (
+@query("""SELECT conv_id, turn, coalesce(CASE WHEN turn - place <= 2 THEN place END, -1) AS system_turn FROM (
     SELECT conv_id, turn, role, last_value(CASE WHEN role = 'system' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place
     FROM conversations) WHERE role = 'assistant'""")
 def nearest_above_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations")
     at = lookup.last_before(chats, ["conv_id"], "turn", F.when(F.col("role") == "system", F.col("turn")), within=2)
-    return chats.withColumn("system_turn", at).where("role = 'assistant'").select("conv_id", "turn", "system_turn")
+    return chats.withColumn("system_turn", F.coalesce(at, F.lit(-1).cast("bigint"))).where("role = 'assistant'").select("conv_id", "turn", "system_turn")
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -448,7 +448,7 @@ def iso_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", iso.alias("iso"), user_time(iso, "UTC").alias("shown"))
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ \t\n\rà-ÿ]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), ' ')) AS place FROM documents),
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ \t\n\rß-ÿ]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), ' ')) AS place FROM documents),
     g AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS place FROM benchmark)
     SELECT doc_id, place FROM w JOIN g USING (place) WHERE length(place) >= 4
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(place) DESC, place) = 1""")
