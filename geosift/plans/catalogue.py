@@ -491,3 +491,98 @@ def changed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("user").alias("role"))
     draft = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") < 0, "blocked").otherwise("user").alias("role"))
     return lookup.changed_rows(draft, saved, "s_suppkey", ["role"])
+
+
+# Whole plans over data that Spark derives from the tables -------------------------------------------
+
+
+def register_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, source_part, text): a register text for each nation, a card for each of its customers."""
+    card = F.concat(
+        F.lit("Объект "), F.col("c_custkey").cast("string"), F.lit(" Цех "), F.lower("c_mktsegment"), F.lit("\n220030, ул. Мира, "), (F.col("c_custkey") % 90 + 1).cast("string"),
+        F.lit(", г. Минск\nСобственник ООО "), F.col("c_mktsegment"), F.lit("\nтел. (017) 2"), F.regexp_replace(F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0"), "(..)(..)(..)", "$1-$2-$3"),
+    )
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", card.alias("card"))
+    cards = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "card"))), lambda x: x["card"])
+    head = F.concat((F.lit(1000000) + F.col("c_nationkey")).cast("string"), F.lit(" Отходы "), F.col("c_nationkey").cast("string"), F.lit("\n"))
+    return customers.groupBy("c_nationkey").agg(F.array_join(cards, "\n").alias("cards")).select(
+        F.col("c_nationkey").cast("long").alias("doc"), (F.col("c_nationkey") % 2 + 1).cast("int").alias("source_part"), F.concat(F.lit("шапка\n"), head, F.col("cards")).alias("text")
+    )
+
+
+@query("""SELECT cast(c_custkey AS int) AS id, cast(1000000 + c_nationkey AS varchar) AS waste_code, 'Отходы ' || c_nationkey AS waste_type_name, 'ООО ' || c_mktsegment AS owner,
+    'Цех ' || lower(c_mktsegment) AS object_name, '220030, ул. Мира, ' || (c_custkey % 90 + 1) || ', г. Минск' AS address, '(017) 2' || regexp_replace(lpad(cast(c_custkey % 1000000 AS varchar), 6, '0'), '(..)(..)(..)', '\\1-\\2-\\3') AS phones,
+    cast(c_nationkey % 2 + 1 AS int) AS source_part, true AS accepts_external_waste FROM customer""")
+def register_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register texts written from the customers and read back: segments, cards and fields."""
+    from .parse import parse
+
+    got = parse(register_texts(spark, sf_dir))
+    return got.select("id", "waste_code", "waste_type_name", "owner", "object_name", "address", "phones", "source_part", "accepts_external_waste")
+
+
+def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the shape of the register."""
+    at = with_coords(table(spark, sf_dir, "customer"), "c_custkey")
+    some = F.col("c_custkey") % 4 != 0
+    return at.select(
+        F.col("c_custkey").alias("pk"), F.lit(1).alias("source_part"), F.col("c_custkey").cast("int").alias("record_id"), F.col("c_name").alias("owner"), F.col("c_mktsegment").alias("object_name"),
+        (F.lit(1000000) + F.col("c_nationkey")).cast("string").alias("waste_code"), F.lit("w").alias("waste_type_name"), (F.col("c_custkey") % 7 != 0).alias("accepts_external_waste"),
+        F.concat(F.lit("дом "), F.col("c_custkey").cast("string")).alias("address"), F.lit("").alias("phones"), F.when(some, F.col("lat")).alias("lat"), F.when(some, F.col("lon")).alias("lon"), F.lit(None).cast("string").alias("payload"),
+    )
+
+
+@query(f"""WITH f AS (SELECT c_custkey AS pk, {_km(_LAT.format(k='c_custkey'), _LON.format(k='c_custkey'))} AS km FROM customer
+        WHERE c_custkey % 7 <> 0 AND c_custkey % 4 <> 0 AND contains(lower(c_mktsegment), 'build'))
+    SELECT pk, cast(row_number() OVER (ORDER BY km, pk) AS int) AS rank, round(km, 1) AS distance_km, round(greatest(2.0::double, greatest(0.1::double, km) * 0.2::double), 1) AS spread_km, false AS approximate
+    FROM f ORDER BY km, pk LIMIT 7""")
+def search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: text scan, repair, dedupe, distances, top seven."""
+    from .search import Request, search
+
+    got = search(facilities(spark, sf_dir), Request(query="build", lat=_HERE[0], lon=_HERE[1]))
+    return got.select("pk", "rank", "distance_km", "spread_km", "approximate")
+
+
+@query("""SELECT c_custkey AS pk, cast(row_number() OVER (ORDER BY c_custkey) AS int) AS rank FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 7""")
+def search_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import Request, search
+
+    return search(facilities(spark, sf_dir), Request(waste_code="1000003")).select("pk", "rank")
+
+
+@query("""SELECT c_custkey, '+375 (17) ' || substring(p, 1, 3) || '-' || substring(p, 4, 2) || '-' || substring(p, 6, 2) AS shown
+    FROM (SELECT c_custkey, cast(2000000 + c_custkey % 1000000 AS varchar) AS p FROM customer)""")
+def display_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.display import phones
+
+    raw = F.concat(F.lit("(017) "), (F.lit(2000000) + F.col("c_custkey") % 1000000).cast("string"), F.lit("; (017) "), (F.lit(2000000) + F.col("c_custkey") % 1000000).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", phones(raw).alias("shown"))
+
+
+@query("""SELECT c.c_custkey AS pk, cast(n.n_nationkey AS double) AS lat FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def marked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places after town marks in addresses, looked up in a gazetteer of the nations' names."""
+    from .gazetteer import strict_coords
+
+    nations = table(spark, sf_dir, "nation")
+    places = nations.select(F.lower(F.translate("n_name", "_", " ")).alias("place"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    address = F.concat(F.lit("220030, г. "), F.translate("n_name", "_", " "), F.lit(" район, ул. Мира"))
+    texts = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("pk"), F.lit(0).alias("r"), address.alias("t"))
+    return strict_coords(texts, places).select("pk", "lat")
+
+
+@query(_SQL["throttle_events"])
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The throttle as a stream with state, run over the events to its end."""
+    import tempfile
+    import uuid
+
+    from ..streaming.imports import drained, throttled_stream
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("ts", F.col("ts").cast("timestamp"))
+    drained(lambda: throttled_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start())
+    return spark.read.schema("user_id long, event_id long, ts timestamp").parquet(f"{at}/out").select("user_id", "event_id")
