@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, small_batches, stored
 
-#: Members of one local join; larger neighbourhoods and buckets are split into parts of about this size.
+#: Members of one local join; larger neighbourhoods are split into parts of about this size.
 PART = 96
+#: Members of one part of a first bucket; products of such parts cost little beside moving the vectors.
+FIRST_PART = 4096
 SEED = 17
 
 
@@ -100,13 +102,15 @@ def _local_join(groups: DataFrame, keep: int) -> DataFrame:
         def join(parts: list[tuple]) -> None:
             nonlocal size
             node, new, worst, unit = (np.concatenate(c) for c in zip(*parts))
-            for s in range(0, len(node), 4 * PART):  # a part is larger than this only by an odd chance
-                i = slice(s, s + 4 * PART)
+            for s in range(0, len(node), 256):
+                i = slice(s, s + 256)
                 score = unit[i] @ unit.T
-                good = (score > worst[i, None]) & (new[i, None] | new[None]) & (node[i, None] != node[None])
-                a, b = np.nonzero(good)
+                score[~(new[i, None] | new[None]) | (node[i, None] == node[None])] = -3
+                at = np.argpartition(score, -keep, axis=1)[:, -keep:] if len(node) > keep else np.broadcast_to(np.arange(len(node)), score.shape)
+                best = np.take_along_axis(score, at, 1)
+                a, k = np.nonzero(best > worst[i, None])
                 if len(a):
-                    held.append((node[i][a], node[b], score[a, b]))
+                    held.append((node[i][a], node[at[a, k]], best[a, k]))
                     size += len(a)
 
         key, parts = None, []
@@ -135,10 +139,10 @@ def _local_join(groups: DataFrame, keep: int) -> DataFrame:
     return dealt.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(run, FOUND)
 
 
-def _parted(groups: DataFrame) -> DataFrame:
-    """Deal each group out in parts of about PART members; every member stays in exactly one."""
+def _parted(groups: DataFrame, size: int = PART) -> DataFrame:
+    """Deal each group out in parts of about ``size`` members; every member stays in exactly one."""
     sizes = groups.groupBy("g").agg(F.count("*").alias("n"))
-    return groups.join(sizes, "g").withColumn("part", F.expr(f"cast(pmod(xxhash64(node, g), ceil(n / {PART})) as int)"))
+    return groups.join(sizes, "g").withColumn("part", F.expr(f"cast(pmod(xxhash64(node, g), ceil(n / {size})) as int)"))
 
 
 def _best(rows: DataFrame, keep: int) -> DataFrame:
@@ -148,7 +152,7 @@ def _best(rows: DataFrame, keep: int) -> DataFrame:
     return each.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep).drop("rn")
 
 
-def descend(nodes: DataFrame, neighbours: int = 16, tables: int = 3, rounds: int = 6, settled: float = 0.01) -> DataFrame:
+def descend(nodes: DataFrame, neighbours: int = 20, tables: int = 14, rounds: int = 4, settled: float = 0.02, first_part: int = FIRST_PART) -> DataFrame:
     """NN-descent: (node, nbr, score, new) with the nearest ``neighbours`` found for each node.
 
     The first lists come from members that share hyperplane signs, and from
@@ -158,11 +162,12 @@ def descend(nodes: DataFrame, neighbours: int = 16, tables: int = 3, rounds: int
     """
     points = stored(_points(nodes, tables), "ann-points")
     n = max(1, points.count())
-    bits = max(0, int(np.log2(n / PART)))
+    bits = int(np.ceil(np.log2(max(1.0, n / first_part))))  # so many that a usual bucket is one part
+    tables = tables if bits else 1  # one bucket holds all
     words = [F.expr(f"named_struct('g', xxhash64({t}, signs[{t}] & {(1 << bits) - 1}))") for t in range(tables)]
-    words.append(F.expr(f"named_struct('g', xxhash64({tables}, pmod(xxhash64(node, {SEED}), {max(1, n // PART)})))"))
+    words.append(F.expr(f"named_struct('g', xxhash64({tables}, pmod(xxhash64(node, {SEED}), {max(1, n // first_part)})))"))
     first = points.select(F.inline(F.array(*words)), "node", "unit").withColumn("new", F.lit(True)).withColumn("worst", F.lit(-2.0).cast("float"))
-    found = _local_join(_parted(first), neighbours).withColumn("new", F.lit(True))
+    found = _local_join(_parted(first, first_part), neighbours if bits == 0 else max(8, neighbours // 2)).withColumn("new", F.lit(True))
     graph = stored(_best(found, neighbours), "ann-graph")
     for _ in range(rounds):
         worst = graph.groupBy("node").agg(F.expr(f"cast(if(count(*) < {neighbours}, -2, min(score)) as float)").alias("worst"))
@@ -220,7 +225,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, starts: DataF
 
 
 def neighbours(
-    vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, graph_size: int = 16, beam: int = 32, tables: int = 3, rounds: int = 6
+    vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, graph_size: int = 20, beam: int = 40, tables: int = 14, rounds: int = 4, first_part: int = FIRST_PART
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``queries`` selects.
 
@@ -231,7 +236,7 @@ def neighbours(
     small_batches(vectors.sparkSession, 2048)
     rows = stored(usable(vectors), "ann-vectors")
     nodes, members = nodes_and_members(rows, k + 2)
-    graph = descend(nodes, graph_size, tables, rounds)
+    graph = descend(nodes, graph_size, tables, rounds, first_part=first_part)
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
     homes = asked.join(nodes, F.col("qvec") == F.col("vec"))  # queries of one vector share a search
     begin = homes.select("node").distinct()

@@ -29,12 +29,12 @@ def rows_by_query(df):
     return out
 
 
-@pytest.mark.parametrize("sf", ["0.001", "0.1"])
-def test_recall_on_the_given_vectors(spark, sf):
+@pytest.mark.parametrize("sf,options", [("0.001", {}), ("0.1", {"first_part": 256})])
+def test_recall_on_the_given_vectors(spark, sf, options):
     df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     pdf = df.toPandas()
     want = brute(pdf.vec_id.tolist(), np.stack(pdf.embedding.to_numpy()).astype(float), 5, 50)
-    got = rows_by_query(ann.neighbours(with_clashes(df)))
+    got = rows_by_query(ann.neighbours(with_clashes(df), **options))
     assert set(got) == set(want)
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
