@@ -15,7 +15,6 @@ from ..operators import lookup, rows
 from ..schemas import SEARCH_COLUMNS, SEARCH_KEY
 
 TEXT_COLUMNS = ["record_id", "waste_code", "waste_type_name", "owner", "object_name", "address", "phones"]
-PREFILTER_ROWS = 5000
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,7 @@ def projected(registry: DataFrame, *, accepts_only: bool = False) -> DataFrame:
 
 
 def loaded(registry: DataFrame, request: Request) -> DataFrame:
-    """One of four scans: by code or id, by text, accepting ones, or all; predicates reach the files."""
+    """One of four scans: by code or id, by text, accepting ones, or all; predicates reach the files and no match is cut off."""
     q = request.query.strip()
     hint = text.record_id_hint(q)
     if request.waste_code or hint is not None:
@@ -51,8 +50,7 @@ def loaded(registry: DataFrame, request: Request) -> DataFrame:
             df = df.where(F.col("waste_code") == request.waste_code)
         return df.where(F.col("record_id") == hint) if hint is not None else df
     if q:
-        hits = projected(registry, accepts_only=request.located).where(text.like_any(q, TEXT_COLUMNS, request.escape))
-        return hits.orderBy("pk").limit(PREFILTER_ROWS)
+        return projected(registry, accepts_only=request.located).where(text.like_any(q, TEXT_COLUMNS, request.escape))
     return projected(registry, accepts_only=request.located)
 
 

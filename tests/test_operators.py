@@ -179,6 +179,12 @@ def test_search_nearest_first_with_backfill(spark):
     assert hit.approximate and hit.lat == pytest.approx(53.9, abs=0.2) and hit.air_km < 5
 
 
+def test_search_ranks_every_text_match(spark):
+    far = registry(spark, record(1, owner="ООО Сосна", lat=50.0, lon=20.0)).drop("pk", "record_id").crossJoin(spark.range(1, 5003).select(F.col("id").alias("pk"), F.col("id").cast("int").alias("record_id")))
+    r = far.withColumn("lat", F.when(F.col("pk") > 5000, F.lit(53.9)).otherwise(F.col("lat"))).select(*[c.split()[0] for c in REGISTRY.split(", ")])
+    assert values(search.search(r, Request(query="сосна", lat=53.9, lon=20.0, limit=2)).orderBy("rank"), "pk") == [5001, 5002]
+
+
 def test_search_with_a_road_provider_asks_for_few(spark):
     r = registry(spark, *[record(i, lat=53.0 + i / 1000, lon=27.0) for i in range(1, 701)])
     asked = []
