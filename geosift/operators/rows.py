@@ -5,8 +5,9 @@ Spark keeps no row order, so each takes the columns that order its rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,34 @@ def runs_collapsed(df: DataFrame, keys: list[str], order: list[str], value: str)
     return df.withColumn("_last", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_last"))).drop("_last")
 
 
+def accepted(timed: DataFrame, key: str, ident: str, seconds: int) -> DataFrame:
+    """(key, ident, t) of the rows at least ``seconds`` after the last accepted one of their key.
+
+    ``timed``: key, ident, t (microseconds), seed.  A seed row is an earlier
+    accepted time of its key; it is no answer itself.  Rows stream through
+    sorted partitions, so a key of any size needs the memory of one time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), None
+        for b in batches:
+            kept = []
+            keys, times, seeds = (b.column(i).to_pylist() for i in (0, 2, 3))
+            for i, (k, t, seed) in enumerate(zip(keys, times, seeds)):
+                if k != now:
+                    now, last = k, None
+                if seed:
+                    last = t
+                elif last is None or (t is not None and t - last >= seconds * 1_000_000):
+                    last = t
+                    kept.append(i)
+            yield b.select([0, 1, 2]).take(pa.array(kept, pa.int64()))
+
+    kind = timed.schema[key].dataType.simpleString()
+    dealt = timed.select(key, ident, "t", "seed").repartition(key).sortWithinPartitions(key, F.desc("seed"), "t", ident)
+    return dealt.mapInArrow(run, f"`{key}` {kind}, `{ident}` long, t long")
+
+
 def throttled(df: DataFrame, key: str, at: str, ident: str, seconds: int) -> DataFrame:
     """Events at least ``seconds`` after the last *accepted* one of their key.
 

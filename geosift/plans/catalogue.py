@@ -578,11 +578,12 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
     import uuid
 
-    from ..streaming.imports import drained, throttled_stream
+    from ..streaming.imports import drained, throttle_query
 
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("ts", F.col("ts").cast("timestamp"))
-    drained(lambda: throttled_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start())
-    return spark.read.schema("user_id long, event_id long, ts timestamp").parquet(f"{at}/out").select("user_id", "event_id")
+    drained(lambda: throttle_query(stream, f"{at}/out", f"{at}/marks"))
+    kind = schema["user_id"].dataType.simpleString()
+    return spark.read.schema(f"user_id {kind}, event_id long, t long").parquet(f"{at}/out").select("user_id", "event_id")

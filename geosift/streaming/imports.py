@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import replaced_part
+from ..operators.rows import accepted
 from ..plans.catalog import Catalog
 from ..plans.parse import parse
 from ..schemas import REGISTRY
@@ -60,24 +62,55 @@ def import_stream(spark: SparkSession, catalog: Catalog, path: str, checkpoint:
 
 
 def throttled_stream(events: DataFrame, key: str = "user_id", seconds: int = 300) -> DataFrame:
-    """(key, event_id, ts) of events at least ``seconds`` after the last accepted one of their key; one number of state a key."""
+    """(key, event_id, ts) of events at least ``seconds`` after the last accepted one of their key; one number of state a key.
+
+    A micro-batch hands a key over in chunks of any order, so its times and ids
+    are gathered (16 bytes an event) and ordered before they are folded;
+    ``throttle_query`` needs no such room.
+    """
 
     def accept(k: tuple, batches, state: GroupState):
         last = state.get[0] if state.exists else None
         out = []
-        for pdf in batches:
-            for ident, at in pdf.sort_values(["t", "event_id"])[["event_id", "t"]].itertuples(index=False):
-                if last is None or at - last >= seconds * 1_000_000:
-                    last = int(at)
-                    out.append((k[0], int(ident), pd.Timestamp(last, unit="us", tz="UTC")))
+        t, ids = (np.concatenate(c) for c in zip(*[(pdf["t"].to_numpy(np.int64), pdf["event_id"].to_numpy(np.int64)) for pdf in batches]))
+        for i in np.lexsort((ids, t)):
+            if last is None or t[i] - last >= seconds * 1_000_000:
+                last = int(t[i])
+                out.append((k[0], int(ids[i]), pd.Timestamp(last, unit="us", tz="UTC")))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=[key, "event_id", "ts"])
 
-    timed = events.select(key, "event_id", F.unix_micros("ts").alias("t"))
+    timed = events.select(key, "event_id", F.unix_micros("ts").alias("t")).where("t is not null")
     return timed.groupBy(key).applyInPandasWithState(accept, f"{key} long, event_id long, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def throttle_query(events: DataFrame, path: str, checkpoint: str, key: str = "user_id", seconds: int = 300, available_now: bool = True) -> StreamingQuery:
+    """Write (key, event_id, t) of the accepted events to ``path``/batch=N, one folder a micro-batch.
+
+    Each batch is folded in order of time through sorted partitions; between
+    batches only the last accepted time of each key is kept, as a table beside
+    the checkpoint.  A batch that is run again reads the table of the one before
+    it and overwrites its own output, so a restart repeats and loses none.
+    """
+    marks = f"{checkpoint.rstrip('/')}-last"
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kind = batch.schema[key].dataType.simpleString()
+        shape = f"`{key}` {kind}, t long"
+        known = spark.read.schema(shape).parquet(f"{marks}/{number - 1}") if number else spark.createDataFrame([], shape)
+        seeds = known.select(key, F.lit(None).cast("long").alias("event_id"), "t", F.lit(True).alias("seed"))
+        fresh = batch.select(key, F.col("event_id").cast("long").alias("event_id"), F.unix_micros("ts").alias("t"), F.lit(False).alias("seed"))
+        out = f"{path.rstrip('/')}/batch={number}"
+        accepted(seeds.union(fresh), key, "event_id", seconds).write.mode("overwrite").parquet(out)
+        done = spark.read.schema(f"`{key}` {kind}, event_id long, t long").parquet(out)
+        known.union(done.select(key, "t")).groupBy(key).agg(F.max("t").alias("t")).write.mode("overwrite").parquet(f"{marks}/{number}")
+
+    writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def drained(query_of: Callable[[], StreamingQuery]) -> None:
     """Run an available-now query to its end."""
     query = query_of()

@@ -47,6 +47,31 @@ def test_throttle_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 300, 600, 1000]
 
 
+def test_throttle_orders_a_key_that_comes_in_many_chunks(spark, tmp_path):
+    """One user's events, times in mixed order over two batches, more than Arrow hands over at once."""
+    schema = "user_id long, event_id long, ts timestamp"
+    mixed = "timestamp_micros((1700000000 + 40 * ((id * 7919) % 1000)) * 1000000L + {0} * 40000000000L)"
+    into, want, last = str(tmp_path / "events"), [], None
+    for i in sorted(range(2000), key=lambda i: ((i // 1000) * 40000 + 40 * ((i * 7919) % 1000), i)):
+        t = (i // 1000) * 40000 + 40 * ((i * 7919) % 1000)
+        if last is None or t - last >= 300:
+            last = t
+            want.append(i)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for n in range(2):
+            spark.range(1000 * n, 1000 * (n + 1)).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.expr(mixed.format(n)).alias("ts")).coalesce(1).write.mode("append").parquet(into)
+            stream = spark.readStream.schema(schema).parquet(into)
+            imports.drained(lambda: imports.throttle_query(stream, str(tmp_path / "out"), str(tmp_path / "marks")))
+            held = imports.throttled_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "marks2"))
+            imports.drained(lambda: held.trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out2")).collect()) == sorted(want)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "b_II.txt").write_text("два", encoding="utf-8")
