@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, small_batches, stored
 
-#: Members of one local join; larger neighbourhoods are split into parts of about this size.
-PART = 96
-#: Members of one part of a first bucket; products of such parts cost little beside moving the vectors.
-FIRST_PART = 4096
+#: Members of one local join; larger neighbourhoods are split into parts of about this size, anew in each round.
+PART = 256
+#: Members of one part of a first bucket, whatever the number of vectors.
+FIRST_PART = 64
+#: Neighbours that one local join sends on for a member; a pair lost to this comes up in other joins.
+SEND = 6
 SEED = 17
 
 
@@ -52,8 +54,13 @@ def _unit(rows: list) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """The lists of one length as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _points(nodes: DataFrame, tables: int) -> DataFrame:
-    """(node, unit binary, signs array<long>): unit vectors, and one word of hyperplane signs for each table."""
+    """(node, unit binary, signs array<long>): unit vectors in half precision, and one word of hyperplane signs for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -66,7 +73,7 @@ def _points(nodes: DataFrame, tables: int) -> DataFrame:
             bits = (unit @ planes > 0).reshape(len(unit), tables, 32)
             signs = (bits << np.arange(32)).sum(2, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int64()))], ["node", "unit", "signs"]
+                [b.column(0), pa.array([u.tobytes() for u in unit.astype(np.float16)], pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int64()))], ["node", "unit", "signs"]
             )
 
     return nodes.select("node", "vec").mapInArrow(run, "node long, unit binary, signs array<long>")
@@ -75,12 +82,12 @@ def _points(nodes: DataFrame, tables: int) -> DataFrame:
 FOUND = "node long, nbr long, score float"
 
 
-def _local_join(groups: DataFrame, keep: int) -> DataFrame:
+def _local_join(groups: DataFrame, keep: int, send: int) -> DataFrame:
     """Better neighbours among the members of each group.
 
     ``groups``: g, part, node, new, worst, unit.  Two members are compared if
     either is new to the group; a pair counts for a member whose worst neighbour
-    so far it beats.  Each task keeps the best ``keep`` for a node before it
+    so far it beats, and the best ``send`` of a group go on.  Each task keeps the best ``keep`` for a node before it
     sends them on.
     """
 
@@ -106,7 +113,7 @@ def _local_join(groups: DataFrame, keep: int) -> DataFrame:
                 i = slice(s, s + 256)
                 score = unit[i] @ unit.T
                 score[~(new[i, None] | new[None]) | (node[i, None] == node[None])] = -3
-                at = np.argpartition(score, -keep, axis=1)[:, -keep:] if len(node) > keep else np.broadcast_to(np.arange(len(node)), score.shape)
+                at = np.argpartition(score, -send, axis=1)[:, -send:] if len(node) > send else np.broadcast_to(np.arange(len(node)), score.shape)
                 best = np.take_along_axis(score, at, 1)
                 a, k = np.nonzero(best > worst[i, None])
                 if len(a):
@@ -118,7 +125,7 @@ def _local_join(groups: DataFrame, keep: int) -> DataFrame:
             if not b.num_rows:
                 continue
             g, part, node, new, worst = (c.to_numpy(zero_copy_only=False) for c in b.columns[:5])
-            unit = np.frombuffer(b"".join(b.column(5).to_pylist()), np.float32).reshape(b.num_rows, -1)
+            unit = np.frombuffer(b"".join(b.column(5).to_pylist()), np.float16).astype(np.float32).reshape(b.num_rows, -1)
             cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(part) != 0)) + 1
             bounds = [0, *cuts.tolist(), len(g)]
             for s, e in zip(bounds, bounds[1:]):
@@ -139,48 +146,55 @@ def _local_join(groups: DataFrame, keep: int) -> DataFrame:
     return dealt.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(run, FOUND)
 
 
-def _parted(groups: DataFrame, size: int = PART) -> DataFrame:
+def _parted(groups: DataFrame, size: int = PART, salt: int = 0) -> DataFrame:
     """Deal each group out in parts of about ``size`` members; every member stays in exactly one."""
     sizes = groups.groupBy("g").agg(F.count("*").alias("n"))
-    return groups.join(sizes, "g").withColumn("part", F.expr(f"cast(pmod(xxhash64(node, g), ceil(n / {size})) as int)"))
+    return groups.join(sizes, "g").withColumn("part", F.expr(f"cast(pmod(xxhash64(node, g, {salt}), ceil(n / {size})) as int)"))
 
 
 def _best(rows: DataFrame, keep: int) -> DataFrame:
-    """The best ``keep`` neighbours of each node; new marks those that weren't there before."""
-    each = rows.groupBy("node", "nbr").agg(F.max("score").alias("score"), F.min("new").alias("new"))
+    """The best ``keep`` neighbours of each node; new marks edges not joined yet, fresh those of this round."""
+    each = rows.groupBy("node", "nbr").agg(F.max("score").alias("score"), F.min("new").alias("new"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("node").orderBy(F.desc("score"), "nbr")
     return each.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep).drop("rn")
 
 
-def descend(nodes: DataFrame, neighbours: int = 20, tables: int = 14, rounds: int = 4, settled: float = 0.02, first_part: int = FIRST_PART) -> DataFrame:
-    """NN-descent: (node, nbr, score, new) with the nearest ``neighbours`` found for each node.
+def descend(nodes: DataFrame, neighbours: int = 64, tables: int = 2, rounds: int = 40, settled: float = 0.01, first_part: int = FIRST_PART) -> DataFrame:
+    """NN-descent: (node, nbr, score, new, fresh) with the nearest ``neighbours`` found for each node.
 
     The first lists come from members that share hyperplane signs, and from
-    random parts so that every node has some.  In each round the neighbours of a
-    node, in both directions, are joined with each other, until fewer than
-    ``settled`` of the edges change.
+    random parts so that every node has some: at most about ``(tables + 1) *
+    first_part`` products a vector, however many vectors there are.  In each
+    round half of the edges not joined yet, by chance, and all older ones bring
+    the neighbours of a node, in both directions, together, until fewer than
+    ``settled`` of the edges change.  ``rounds`` only guards against a run
+    without end.
     """
     points = stored(_points(nodes, tables), "ann-points")
     n = max(1, points.count())
     bits = int(np.ceil(np.log2(max(1.0, n / first_part))))  # so many that a usual bucket is one part
-    tables = tables if bits else 1  # one bucket holds all
     words = [F.expr(f"named_struct('g', xxhash64({t}, signs[{t}] & {(1 << bits) - 1}))") for t in range(tables)]
     words.append(F.expr(f"named_struct('g', xxhash64({tables}, pmod(xxhash64(node, {SEED}), {max(1, n // first_part)})))"))
-    first = points.select(F.inline(F.array(*words)), "node", "unit").withColumn("new", F.lit(True)).withColumn("worst", F.lit(-2.0).cast("float"))
-    found = _local_join(_parted(first, first_part), neighbours if bits == 0 else max(8, neighbours // 2)).withColumn("new", F.lit(True))
-    graph = stored(_best(found, neighbours), "ann-graph")
-    for _ in range(rounds):
+    none = F.lit(-2.0).cast("float")
+    first = points.select(F.inline(F.array(*words)), "node", "unit").withColumn("new", F.lit(True)).withColumn("worst", none)
+    marked = {"new": F.lit(True), "fresh": F.lit(True)}
+    graph = stored(_best(_local_join(_parted(first, first_part), neighbours, max(16, neighbours // 4)).withColumns(marked), neighbours), "ann-graph")
+    for turn in range(rounds):
         worst = graph.groupBy("node").agg(F.expr(f"cast(if(count(*) < {neighbours}, -2, min(score)) as float)").alias("worst"))
-        known = points.join(worst, "node", "left").select("node", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "unit")
-        both = graph.select(F.col("node").alias("g"), F.col("nbr").alias("node"), "new").union(graph.select(F.col("nbr").alias("g"), "node", "new"))
-        groups = _parted(both.groupBy("g", "node").agg(F.max("new").alias("new"))).join(known, "node")
-        better = _local_join(groups, neighbours).withColumn("new", F.lit(True))
-        old = graph.withColumn("new", F.lit(False))
+        known = points.join(worst, "node", "left").select("node", F.coalesce("worst", none).alias("worst"), "unit")
+        taken = F.col("new") & (F.pmod(F.xxhash64("node", "nbr", F.lit(turn)), F.lit(2)) == 0)
+        edges = graph.withColumn("taken", taken).where("taken or not new")
+        both = edges.select(F.col("node").alias("g"), F.col("nbr").alias("node"), "taken").union(edges.select(F.col("nbr").alias("g"), "node", "taken"))
+        met = both.groupBy("g", "node").agg(F.max("taken").alias("new"))
+        live = met.groupBy("g").agg(F.max("new").alias("any")).where("any").select("g")  # the others bring nothing new
+        groups = _parted(met.join(live, "g", "left_semi"), PART, turn).join(known, "node")
+        better = _local_join(groups, neighbours, SEND).withColumns(marked)
+        old = graph.withColumns({"new": F.col("new") & ~taken, "fresh": F.lit(False)})
         grown = stored(_best(old.unionByName(better), neighbours), "ann-graph")
         drop_stored(graph)
         graph = grown
-        changed, edges = graph.agg(F.count_if("new"), F.count("*")).first()
-        if changed <= settled * edges:
+        changed, edges_n = graph.agg(F.count_if("fresh"), F.count("*")).first()
+        if changed <= settled * edges_n:
             break
     return graph
 
@@ -191,7 +205,7 @@ def _scored(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.array(b.column(i).to_pylist(), np.float64) for i in (2, 3))
+                x, y = (_matrix(b.column(i)) for i in (2, 3))
                 score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "node", "score"])
 
@@ -225,7 +239,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, starts: DataF
 
 
 def neighbours(
-    vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, graph_size: int = 20, beam: int = 40, tables: int = 14, rounds: int = 4, first_part: int = FIRST_PART
+    vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, graph_size: int = 64, beam: int = 24, tables: int = 2, rounds: int = 40, first_part: int = FIRST_PART
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``queries`` selects.
 

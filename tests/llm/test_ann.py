@@ -44,6 +44,16 @@ def test_recall_on_the_given_vectors(spark, sf, options):
             assert s <= best + 1e-9
 
 
+def test_descent_carries_recall_from_a_start_of_few_pairs(spark):
+    """Vectors without clusters; the start compares at most 3 * 40 of 3,000 others for each."""
+    n, options = 3000, {"tables": 2, "first_part": 40}
+    x = np.random.default_rng(5).standard_normal((n, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    want = brute(list(range(n)), x, 5, 50)
+    got = rows_by_query(ann.neighbours(df, **options))
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_few_odd_and_equal_vectors(spark):
     rows = [(i * 50, [1.0, float(i % 3), 0.5], 0) for i in range(1, 12)]
     rows += [(1, None, 0), (50 * 99, [0.0, 0.0, 0.0], 0), (2, [1.0, None, 2.0], 0), (3, [float("nan"), 1.0, 1.0], 0), (4, [1.0, float("inf"), 1.0], 0), (5, [1.0], 0), (None, [1.0, 1.0, 1.0], 0), (6, [], 0)]
