@@ -245,10 +245,11 @@ def neighbours(
 
     Nearest first by cosine, ties to the smaller vec_id; never the query's own
     row.  Every usable vector is indexed.  A query starts at its own node.  Of
-    rows that repeat a vec_id with different vectors each is a row of its own.
+    rows that repeat a vec_id with different vectors each is a row of its own;
+    rows that repeat both count once.
     """
     small_batches(vectors.sparkSession, 2048)
-    rows = stored(usable(vectors), "ann-vectors")
+    rows = stored(usable(vectors).distinct(), "ann-vectors")
     nodes, members = nodes_and_members(rows, k + 2)
     graph = descend(nodes, graph_size, tables, rounds, first_part=first_part)
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))

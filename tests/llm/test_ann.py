@@ -66,6 +66,12 @@ def test_few_odd_and_equal_vectors(spark):
     assert {q: [v for v, _ in a] for q, a in two.items()} == {50: [100], 100: [50]}
 
 
+def test_exact_repeats_count_once(spark):
+    rows = [(i, [1.0, float(i % 3), i / 7], 0) for i in range(1, 9)] + [(50, [1.0, 2.0, 0.5], 0)]
+    once, often = (rows_by_query(ann.neighbours(spark.createDataFrame(r, VECTORS))) for r in (rows, rows + 7 * rows[-1:] + rows[:2]))
+    assert once == often and len(once[50]) == 5
+
+
 def test_empty_and_single(spark):
     assert ann.neighbours(spark.createDataFrame([], VECTORS)).count() == 0
     assert ann.neighbours(spark.createDataFrame([(0, [1.0, 2.0], 0)], VECTORS)).count() == 0
