@@ -8,6 +8,8 @@ the matching statistics of the whole collection stream off the samples.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _WORD = 8
@@ -117,16 +119,22 @@ class RunIndex:
         return np.minimum(out, self.left)
 
 
-def long_repeats(strings: list[bytes], least: int) -> list[tuple[int, int, int]]:
-    """(string, start, end) intervals covered by matches of ``least`` bytes that also start elsewhere."""
+def long_repeats(strings: list[bytes], need: Callable[[RunIndex], np.ndarray]) -> list[tuple[int, int, int]]:
+    """(string, start, end) intervals covered by matches that also start elsewhere.
+
+    ``need`` gives the length from which a match at each position counts; its
+    windows end in the order in which they start.
+    """
     if not strings:
         return []
     index = RunIndex(strings)
-    hits = np.flatnonzero(index.matching_statistics() >= least)
+    length = need(index)
+    hits = np.flatnonzero(index.matching_statistics() >= length)
     if not len(hits):
         return []
     owner = np.searchsorted(index.starts, hits, "right") - 1
-    apart = np.flatnonzero((np.diff(hits) > least) | (np.diff(owner) != 0)) + 1
+    ends = hits + length[hits]
+    apart = np.flatnonzero((hits[1:] > ends[:-1]) | (np.diff(owner) != 0)) + 1
     lo, hi = np.concatenate([[0], apart]), np.concatenate([apart, [len(hits)]]) - 1
     base = index.starts[owner[lo]]
-    return list(zip(owner[lo].tolist(), (hits[lo] - base).tolist(), (hits[hi] - base + least).tolist()))
+    return list(zip(owner[lo].tolist(), (hits[lo] - base).tolist(), (ends[hi] - base).tolist()))

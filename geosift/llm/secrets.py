@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import fresh, stored, texts
 from .spans import SPANS, summary
 
 #: The base kinds, then those that linking adds.
@@ -129,9 +129,8 @@ def redacted(docs: DataFrame, scope: int = 400) -> DataFrame:
     parsed = stored(parse(docs), "secrets")
     linked = link(_parts(parsed), scope).join(parsed.select("row_id", "content"), "row_id")
     every = parsed.select("content", F.inline("base")).union(linked.select("content", "start", "kind", "end"))
-    found = stored(
-        every.groupBy(F.col("content").alias("_secrets_of")).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("_secrets")), "found"
-    )
+    of, spans_of = fresh(docs, "secrets_of"), fresh(docs, "secrets")
+    found = stored(every.groupBy(F.col("content").alias(of)).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias(spans_of)), "found")
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -147,7 +146,7 @@ def redacted(docs: DataFrame, scope: int = 400) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, _digest() == F.col("_secrets_of"), "left").withColumn("text", mask("text", "_secrets"))
+    joined = docs.join(found, _digest() == F.col(of), "left").withColumn("text", mask("text", spans_of))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_secrets_of").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col(of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)
