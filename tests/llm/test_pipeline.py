@@ -1,6 +1,7 @@
 """The stages in turn, each against a plain version over what the one before it kept."""
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from geosift.llm import secrets, simhash
 
-from .test_simhash import plain_classes, plain_fingerprint
-from .test_substring import plain_marks
+from .test_simhash import alike, plain_components, shingles
+from .test_substring import plain_word_marks
 from .test_texts import plain_secrets, plain_stats
 
 AT = "/root/testdata/sf0.01"
@@ -51,21 +52,23 @@ def test_rejected_documents_go(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = by_id(stages[1]), by_id(stages[2])
-    classes = plain_classes({d: plain_fingerprint(r.text) for d, r in before.items()})
-    assert set(after) == set(classes.values()) and all(after[d] == before[d] for d in after)
+    sets = {d: shingles(r.text) for d, r in before.items()}
+    pairs = alike(sets, 0.7)
+    sure, loose = (plain_components([(a, b) for a, b, j in pairs if j >= least], list(sets)) for least in (0.9, 0.7))
+    of = lambda groups: Counter(groups[d] for d in after)
+    assert set(of(loose)) == set(loose.values())  # each group keeps one
+    assert max(of(sure).values()) == 1  # and no two of a close one stay
+    assert all(after[d] == before[d] for d in after)
 
 
 def test_passages_go(stages):
     before, after = by_id(stages[2]), by_id(stages[3])
     ids = sorted(before)
     assert sorted(after) == ids
-    for d, gone in zip(ids, plain_marks([before[d].text.encode() for d in ids], corpus_pipeline.PASSAGE)):
-        raw, parts, start = before[d].text.encode(), [], 0
-        for i in range(len(raw) + 1):
-            if i == len(raw) or gone[i]:
-                parts.append(raw[start:i].decode(errors="ignore"))
-                start = i + 1
-        assert after[d].text == "".join(parts) and after[d].n_chars == len(after[d].text)
+    for d, gone in zip(ids, plain_word_marks([before[d].text for d in ids], 51)):
+        kept = [w for w, g in zip(re.findall(r"[^ \t-\r]+", before[d].text), gone) if not g]
+        assert re.findall(r"[^ \t-\r]+", after[d].text) == kept and after[d].n_chars == len(after[d].text)
+        assert any(gone) or after[d] == before[d]
 
 
 def test_secrets_go(stages):

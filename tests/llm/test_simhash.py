@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from geosift.llm import graph, simhash
 
@@ -48,8 +49,6 @@ def plain_classes(fps, distance=3):
 
 
 def test_fingerprints_and_components(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     docs = with_clashes(real_docs(spark, sf_dir.replace("0.001", "0.01"))).unionByName(
         with_clashes(odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id") + 100_000))
     )
@@ -57,8 +56,57 @@ def test_fingerprints_and_components(spark, sf_dir):
     want = plain_classes(fps)
     got = simhash.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == Counter((d, fps[d], want[d]) for d in fps)
+
+
+def shingles(text, size=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def alike(sets, least):
+    """(a, b, Jaccard) of all pairs that share a shingle and reach ``least``."""
+    holders = {}
+    for d, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(d)
+    shared = Counter((a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :])
+    return [(a, b, j) for (a, b), n in shared.items() if (j := n / (len(sets[a]) + len(sets[b]) - n)) >= least]
+
+
+def test_similar_documents_against_all_pairs(spark):
+    """Texts of one to many words with a share of them replaced, beside the given ones."""
+    rng = random.Random(9)
+    texts = [r.text or "" for r in real_docs(spark, "/root/testdata/sf0.01").collect()]
+    for i in range(120):
+        words = rng.choice(texts).split() or ["x"]
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(1, 1 + len(words) // 30)] = [f"new{i}"]
+        texts.append(" ".join(words).upper() if i % 9 == 0 and " ".join(words).isascii() else "\n".join(words))
+    sets = {d: shingles(t) for d, t in enumerate(texts)}
+    docs = spark.createDataFrame([(d, t, "x") for d, t in enumerate(texts)], "doc_id long, text string, kept_id string")
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs, chunk=64).collect()}
+    assert set(found) == set(sets)
+    pairs = alike(sets, 0.7)
+    sure = [(a, b) for a, b, j in pairs if j >= 0.9]
+    near = [found[a] == found[b] for a, b, j in pairs if 0.8 <= j < 0.9]
+    assert len(sure) > 100 and all(found[a] == found[b] for a, b in sure)
+    assert len(near) > 20 and sum(near) >= 0.8 * len(near), (sum(near), len(near))
+    reach = plain_components([(a, b) for a, b, _ in pairs], list(sets))
+    assert all(reach[d] == reach[c] for d, c in found.items())  # nothing below 0.7 is linked
     kept = simhash.survivors(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values())) and kept.columns == docs.columns
+
+
+def test_likeness_of_wide_fingerprints():
+    words = [f"w{i}" for i in range(2000)]
+    one = simhash.wide_fingerprint(" ".join(words))
+    assert len(one) == 8 and one == simhash.wide_fingerprint("\t".join(words).upper()) and simhash.wide_fingerprint(" \n") == [0] * 8
+    bits = lambda a, b: sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) % (1 << 64)).bit_count() for x, y in zip(a, b))
+    for cut in (50, 200, 500):
+        other = simhash.wide_fingerprint(" ".join(words[cut:] + [f"x{i}" for i in range(cut)]))
+        alike = (1996 - cut) / (1996 + cut)
+        assert abs(bits(one, other) - simhash.bits_apart(alike, 512)) < 40
 
 
 def test_links_find_every_close_pair_in_large_buckets(spark):
@@ -75,7 +123,9 @@ def test_links_find_every_close_pair_in_large_buckets(spark):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "doc_id long, fp long")
     want = plain_classes({f: f % (1 << 64) for f in signed})
     for chunk in (16, 2048):
-        links = simhash.links(df, 3, chunk)
+        nodes = df.select(F.col("fp").alias("node"), F.array("fp").alias("fp"))
+        entries = simhash._entries(nodes, [F.col("fp")[0].bitwiseAND(F.lit(m)) for m in simhash.block_masks(3)])
+        links = simhash.links(entries, 3, chunk)
         assert links.count() < 40 * len(fps)
         found = {r.node: r.component for r in graph.components(links).collect()}
         assert {f: found.get(f, f) for f in signed} == want
