@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from geosift.llm import packing, quality, secrets, simhash, substring_dedup
 from geosift.llm.common import stored, table
 
-#: Bytes from which a repeated passage goes: about fifty short words.
-PASSAGE = 240
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -26,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once in what is left go from the texts; no document goes."""
-    return substring_dedup.deduplicated(docs, PASSAGE)
+    """Passages of over fifty words that occur more than once in what is left go from the texts; no document goes."""
+    return substring_dedup.deduplicated(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
