@@ -34,24 +34,32 @@ class RunIndex:
         short = np.minimum(self.left, _WORD)
         mask = np.array([0] + [(1 << 64) - (1 << 64 - 8 * k) for k in range(1, _WORD + 1)], np.uint64)
         self.words = words & mask[short]
-        self.sa = self._sorted_suffixes(short)
+        self.sa = self._sorted_suffixes()
         self._runs()
 
-    def _sorted_suffixes(self, short: np.ndarray) -> np.ndarray:
-        """Suffix order by doubling; only suffixes that are still tied are sorted again."""
+    def _sorted_suffixes(self) -> np.ndarray:
+        """Suffix order by ranks of prefixes that grow by a factor; only suffixes that are still tied are sorted again.
+
+        A sorted word holds a position and as many ranks as fit beside it.  A
+        suffix that ends before its next prefix has a rank of its own, so what
+        is read past its end never counts.
+        """
         n = self.n
-        cut = np.flatnonzero(short < _WORD)
-        first = np.concatenate([cut[np.argsort(short[cut], kind="stable")], np.flatnonzero(short == _WORD)])
-        sa = first[np.argsort(self.words[first], kind="stable")]
-        w = self.words[sa]
-        whole = short[sa] == _WORD
+        slot = np.arange(n, dtype=np.uint64)
+        bits = n.bit_length()
+        wide, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+        step = (61 - bits) // 8
+        short = np.minimum(self.left, step).astype(np.uint64)  # ends sort before any byte
+        words = ((self.words >> np.uint64(64 - 8 * step) << np.uint64(3) | short) << wide) | slot
+        words.sort()
+        sa = (words & low).astype(np.int64)
+        words >>= wide
         begins = np.ones(n, bool)
-        begins[1:] = (w[1:] != w[:-1]) | ~whole[1:] | ~whole[:-1]
-        slot = np.arange(n)
-        head = np.maximum.accumulate(np.where(begins, slot, 0))
-        rank = np.empty(n, np.int64)
-        rank[sa] = head
-        step = _WORD
+        begins[1:] = (words[1:] != words[:-1]) | (short[sa[1:]] < step)
+        rank = np.empty(n, np.uint64)
+        rank[sa] = np.maximum.accumulate(np.where(begins, slot, 0))
+        beside = 64 // bits - 1
+        factor = beside if beside > 1 else 63 // bits
         while True:
             tied = ~begins
             tied[:-1] |= ~begins[1:]
@@ -59,15 +67,23 @@ class RunIndex:
             if not len(slots):
                 return sa
             at = sa[slots]
-            key = rank[at] * n + rank[at + step]
-            order = np.argsort(key)
-            at, key = at[order], key[order]
+            key = rank[at]
+            for k in range(1, factor):
+                key = key << wide | rank[np.minimum(at + k * step, n - 1)]
+            if beside > 1:
+                key = key << wide | at.astype(np.uint64)
+                key.sort()
+                at = (key & low).astype(np.int64)
+                key >>= wide
+            else:
+                order = np.argsort(key)
+                at, key = at[order], key[order]
             sa[slots] = at
             new = np.ones(len(slots), bool)
             new[1:] = key[1:] != key[:-1]
             begins[slots] = new
-            rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
-            step *= 2
+            rank[at] = np.maximum.accumulate(np.where(new, slots, 0)).astype(np.uint64)
+            step *= factor
 
     def _runs(self) -> None:
         """Run heads of the transform, and the match length across each border of two runs."""
@@ -92,16 +108,15 @@ class RunIndex:
         todo = np.flatnonzero(most > 0)
         while len(todo):
             at = length[todo]
-            x = self.words[a[todo] + at] ^ self.words[b[todo] + at]
-            same = x == 0
-            length[todo[same]] += _WORD
-            off, t = x[~same], todo[~same]
-            for k in range(_WORD - 1):  # leading equal bytes
-                equal = (off >> np.uint64(56 - 8 * k)) == 0
-                t, off = t[equal], off[equal]
-                length[t] += 1
-            todo = todo[same]
+            todo = todo[self.words[a[todo] + at] == self.words[b[todo] + at]]
+            length[todo] += _WORD
             todo = todo[length[todo] < most[todo]]
+        todo = np.flatnonzero(length < most)
+        off = self.words[a[todo] + length[todo]] ^ self.words[b[todo] + length[todo]]
+        for k in range(_WORD - 1):  # leading equal bytes of the first words that differ
+            equal = (off >> np.uint64(56 - 8 * k)) == 0
+            todo, off = todo[equal], off[equal]
+            length[todo] += 1
         return np.minimum(length, most)
 
     def matching_statistics(self) -> np.ndarray:

@@ -28,6 +28,8 @@ LEAST = 400
 PASSAGE_WORDS = 51
 #: Bytes of surroundings in one index; larger collections are dealt out as pairs of chunks.
 CHUNK_BYTES = 2 << 20
+#: Bytes from which small collections that share an index close it.
+SHARED_BYTES = 3 << 14
 _SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -65,9 +67,12 @@ class ByteWindows:
         self.least = least
 
     def prepared(self, text: Column) -> Column:
-        """The bytes that are searched."""
+        """The bytes that are searched, as a column; ``normal`` gives the same of one text."""
         return text.cast("binary")
 
+    def normal(self, raw: bytes) -> bytes:
+        return raw
+
     def anchors(self, raw: bytes) -> Iterator[tuple[int, int, int]]:
         """(hash, start, end) of each anchor and of the windows that name it, over the whole text."""
         least = self.least
@@ -98,6 +103,18 @@ class ByteWindows:
         return "".join(parts)
 
 
+class _Hashes(dict):
+    """Hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
 class WordWindows:
     """Windows of ``words`` whole words; a repeat is a run of as many words that starts anywhere else.
 
@@ -112,6 +129,10 @@ class WordWindows:
         if words < self.GRAM:
             raise ValueError(f"repeats of fewer than {self.GRAM} words aren't looked for")
         self.words = words
+        self.hashes = _Hashes()
+
+    def normal(self, raw: bytes) -> bytes:
+        return b" %s " % b" ".join(raw.split())
 
     def prepared(self, text: Column) -> Column:
         return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, "[ \t-\r]+", " ")), F.lit(" ")).cast("binary")
@@ -122,7 +143,7 @@ class WordWindows:
         if n < 1:
             return
         spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
-        each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        each = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         for base in range(0, n, _SEGMENT):
             part = each[base : base + _SEGMENT + self.words - 1]
             m = len(part) - self.GRAM + 1
@@ -140,7 +161,7 @@ class WordWindows:
 
     def spans_of_words(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """First word and word after the last of each interval."""
-        raw = b" %s " % b" ".join(text.encode().split())
+        raw = self.normal(text.encode())
         spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
         return [(int(np.searchsorted(spaces, s)), int(np.searchsorted(spaces, e - 1))) for s, e in spans]
 
@@ -166,16 +187,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _content(docs: DataFrame, windows: Windows) -> DataFrame:
     """Each row's searched bytes with a digest of its text; equal texts fare alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), windows.prepared(text).alias("raw"), F.md5(text.cast("binary")).alias("content"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), windows.prepared(text).alias("raw"), _digest(text).alias("content"))
 
 
 _SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
 _ANCHOR = pa.struct([("h", pa.int64()), ("d", pa.binary()), ("a", pa.int32()), ("z", pa.int32())])
 SCANNED = (
-    "doc_id long, content string, n_bytes long, sha256 string, own array<struct<s: int, e: int>>, "
+    "doc_id long, content binary, n_bytes long, sha256 string, own array<struct<s: int, e: int>>, "
     "anchors array<struct<h: long, d: binary, a: int, z: int>>"
 )
 
@@ -193,8 +218,9 @@ def scan(docs: DataFrame, windows: Windows) -> DataFrame:
             for raw in b.column(1).to_pylist():
                 seen: dict[tuple[int, bytes], tuple[int, int]] = {}
                 twice: list[tuple[int, int]] = []
-                for h, a, z in windows.anchors(raw):
-                    key = (h, xxhash.xxh3_128_digest(raw[a:z]))
+                searched = windows.normal(raw)
+                for h, a, z in windows.anchors(searched):
+                    key = (h, xxhash.xxh3_128_digest(searched[a:z]))
                     if key in seen:
                         twice += [seen[key], (a, z)]
                     else:
@@ -208,7 +234,7 @@ def scan(docs: DataFrame, windows: Windows) -> DataFrame:
                 ["doc_id", "content", "n_bytes", "sha256", "own", "anchors"],
             )
 
-    return _content(docs, windows).mapInArrow(run, SCANNED)
+    return _content(docs, ByteWindows()).mapInArrow(run, SCANNED)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
@@ -248,7 +274,7 @@ def _index(snippets: DataFrame, windows: Windows) -> DataFrame:
         for b in batches:
             for h, i, j, d, snippet in zip(*(c.to_pylist() for c in b.columns)):
                 if (h, i, j) != group:
-                    if size >= CHUNK_BYTES // 2:
+                    if size >= min(SHARED_BYTES, CHUNK_BYTES // 2):
                         yield from flush()
                         held, size = {}, 0
                     group = (h, i, j)
@@ -334,12 +360,12 @@ def digests(docs: DataFrame, least: int = LEAST, words: int = PASSAGE_WORDS) ->
                 kept, n_removed, n_spans = _kept(raw, _runs(spans))
                 runs = by_words.spans_of_words(raw.decode(), _runs(passages)) if passages else []
                 rows.append((content, n_removed, n_spans, hashlib.sha256(kept).hexdigest(), len(runs), sum(j - i for i, j in runs)))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["of", *_CUT])
 
     texts = _content(docs, ByteWindows(least)).join(found, F.col("content").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
-    cut = texts.select("content", "raw", "spans", "passages").mapInArrow(run, "of string, n_removed long, n_spans long, kept string, n_passages long, passage_words long")
+    cut = texts.select("content", "raw", "spans", "passages").mapInArrow(run, "of binary, n_removed long, n_spans long, kept string, n_passages long, passage_words long")
     cut = cut.groupBy("of").agg(*(F.first(c).alias(c) for c in _CUT))  # several rows if a doc_id repeats with its text
     none = F.lit(0).cast("long")
     return scanned.select("doc_id", "content", "n_bytes", "sha256").join(cut, F.col("content") == F.col("of"), "left").select(
@@ -368,8 +394,7 @@ def deduplicated(docs: DataFrame, windows: Windows | None = None) -> DataFrame:
         out = [t if t is None or g is None else windows.cut(t, _runs(g)) for t, g in zip(texts, gone)]
         return pd.Series(out, dtype=object)
 
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    joined = docs.join(found, digest == F.col(of), "left").withColumn("text", cut("text", gone_of))
+    joined = docs.join(found, _digest(F.coalesce(F.col("text"), F.lit(""))) == F.col(of), "left").withColumn("text", cut("text", gone_of))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)
