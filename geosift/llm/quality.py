@@ -10,18 +10,18 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import drop_stored, small_batches, stored
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\v\f\r"
 _CONTINUED = bytes(range(0x80, 0xC0))
-#: Buckets of each of the four feature groups: words, word pairs, 3 bytes and 4 bytes of text.
+#: Buckets of each of the four feature groups: words, word pairs, 3 and 4 characters of text.
 BITS, GROUPS = 14, 4
-#: Labelled rows that the classifier is fitted on at most; a documented bound, not a share of the corpus.
-FIT_ROWS = 2000
+#: Labelled documents, and bytes of their features, that the classifier is fitted on at most: documented bounds, not a share of the corpus.
+FIT_ROWS, FIT_BYTES = 2000, 64 << 20
 _SEGMENT = 1 << 20
 
 
@@ -73,21 +73,22 @@ def text_stats(raw: bytes, ids: np.ndarray, n_distinct: int) -> tuple[int, int,
 
 
 def features(raw: bytes, ids: np.ndarray, distinct: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, buckets) arrays over the whole text: hashed words, word pairs, and byte n-grams."""
+    """(group, buckets) arrays over the whole text: hashed words, word pairs, and n-grams of code points."""
     shift = np.uint64(64 - BITS)
     hashed = np.fromiter(map(crc32, distinct), np.uint64, len(distinct))[ids]
     mix = np.uint64(0x9E3779B97F4A7C15)
     yield 0, (hashed * mix >> shift).astype(np.int32)
     pairs = (hashed[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + hashed[1:]) * mix >> shift
     yield 1, pairs.astype(np.int32)
-    at = np.frombuffer(raw, np.uint8)
+    at = np.frombuffer(raw.decode(errors="replace").encode("utf-32-le"), np.uint32)
     low = np.uint32(32 - BITS)
     for s in range(0, len(at), _SEGMENT):
-        part = at[s : s + _SEGMENT + 3].astype(np.uint32)
-        three = part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]
-        yield 2, (three[:_SEGMENT] * np.uint32(0x9E3779B1) >> low).astype(np.int32)
-        four = three[:-1] | part[3:] << np.uint32(24)
-        yield 3, (four * np.uint32(0x85EBCA77) >> low).astype(np.int32)
+        part = at[s : s + _SEGMENT + 3]
+        two = part[:-1] * np.uint32(0x9E3779B1) + part[1:]
+        three = two[:-1] * np.uint32(0x85EBCA77) + part[2:]
+        yield 2, (three[:_SEGMENT] * np.uint32(0xC2B2AE3D) >> low).astype(np.int32)
+        four = three[:-1] * np.uint32(0x27D4EB2F) + part[3:]
+        yield 3, (four * np.uint32(0x165667B1) >> low).astype(np.int32)
 
 
 def sparse(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +130,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-6) -> Model:
     """Logistic regression by full-batch steps scaled by coordinate, classes weighted alike."""
     index = np.concatenate([i for i, _ in rows])
-    value = np.concatenate([v for _, v in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    value = np.concatenate([v for _, v in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
     share = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
     w, seen, bias, bias_seen = np.zeros(GROUPS << BITS), np.full(GROUPS << BITS, 1e-12), 0.0, 1e-12
     for _ in range(rounds):
@@ -161,11 +162,13 @@ def calibrate(model: Model, scores: np.ndarray, good: np.ndarray, rounds: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """A calibrated model from at most ``fit_rows`` labelled rows, those with the least hashes of doc_id.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
+    """A calibrated model from at most ``fit_rows`` labelled documents, those with the least hashes of doc_id.
 
-    Every fourth row is held back for the calibration.  None when the labels
-    don't hold both classes.
+    Of rows that repeat a doc_id the one whose text has the least digest counts.
+    Documents go by hash until their features reach ``fit_bytes``, so what the
+    driver holds is bounded, long texts or not.  Every fourth one is held back
+    for the calibration.  None when the labels don't hold both classes.
     """
     small_batches(docs.sparkSession)
     chosen = (
@@ -173,22 +176,26 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    labelled = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).join(
-        F.broadcast(chosen), "doc_id"  # at most fit_rows rows of two numbers
-    )
+    raw = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    labelled = raw.join(F.broadcast(chosen), "doc_id")  # at most fit_rows rows of two numbers
+    once = labelled.groupBy("doc_id", "quality").agg(F.min(F.struct(F.md5("raw"), "raw")).alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sparse(raw) for raw in b.column(1).to_pylist()]
+            made = [sparse(raw) for raw in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2).cast(pa.int32()), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())],
-                ["doc_id", "quality", "buckets", "shares"],
+                [b.column(0), b.column(1).cast(pa.int32()), *(pa.array([x[k].tobytes() for x in made], pa.binary()) for k in (0, 1))], ["doc_id", "quality", "buckets", "shares"]
             )
 
-    rows = sorted(labelled.mapInArrow(run, "doc_id long, quality int, buckets binary, shares binary").collect())
-    good = np.array([r.quality > 0 for r in rows], bool)
-    made = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows]
-    held = np.arange(len(rows)) % 4 == 3
+    rows = once.select("doc_id", "quality", "least.raw").mapInArrow(run, "doc_id long, quality int, buckets binary, shares binary")
+    rows = stored(rows.withColumn("turn", F.xxhash64("doc_id")), "quality-features")
+    size = F.sum(F.octet_length("buckets") + F.octet_length("shares")).over(Window.orderBy("turn", "doc_id"))
+    within = rows.select("doc_id", size.alias("size")).where(F.col("size") <= fit_bytes).select("doc_id")  # at most fit_rows rows of two numbers
+    taken = rows.join(F.broadcast(within), "doc_id").toArrow().sort_by("doc_id")
+    drop_stored(rows)
+    good = taken["quality"].to_numpy() > 0
+    made = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(taken["buckets"], taken["shares"])]
+    held = np.arange(len(made)) % 4 == 3
     if len({*good[~held].tolist()}) < 2:
         return None
     model = fit([m for m, h in zip(made, held) if not h], good[~held])
@@ -222,8 +229,11 @@ def rules(
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeated``
     percent of them in repeated windows.  ``quality`` is the calibrated
     probability, null where no model could be fitted (labels of one class or
-    none); then only the base rules decide.  Null text counts as empty and fails
-    for want of words.  Repeated rows get a verdict apiece.
+    none); then only the base rules decide; a tie at ``least_quality`` is kept.
+    Null text counts as empty and fails for want of words.  Very long texts are
+    read whole, in segments.  Repeated rows, and rows that share a doc_id or
+    have none, get a verdict apiece.  Other columns are not read; an empty
+    table gives no rows.
     """
     model = model or train(docs, labels, fit_rows)
     small_batches(docs.sparkSession)
