@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def parse(docs: DataFrame) -> DataFrame:
                     for s, k, e in spans:
                         far, near, after = contexts(text, s, e)
                         patterns = [f"{k}|{far} {near} _"] * bool(far) + [f"{k}|{near} _ {after}"] * bool(near and after)
-                        own.append({"start": s, "kind": k, "end": e, "known": known, "surface": text[s:e][:256].lower(), "patterns": patterns})
+                        own.append({"start": s, "kind": k, "end": e, "known": known, "surface": xxhash.xxh3_128_hexdigest(text[s:e].lower().encode(errors="surrogatepass")), "patterns": patterns})
                 mentions.append(own)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(bases, pa.list_(span)), pa.array(mentions, pa.list_(mention))], ["row_id", "doc_id", "base", "mentions"]
@@ -186,6 +187,10 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
     Null text counts as empty and has no spans; repeated rows and repeated or
     null doc_ids keep a row apiece.  Spans are in code points, ends exclusive.
+    Very long texts are searched whole; a word of context counts by what lies
+    within 64 characters of the mention, and mentions are one instance if they
+    are equal but for case, however long.  Other columns are not read; an empty
+    table gives no rows.
     """
     parsed = stored(parse(docs), "pii")
     mentions = parsed.select("row_id", F.inline("mentions"))
