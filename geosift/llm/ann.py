@@ -246,7 +246,8 @@ def neighbours(
     Nearest first by cosine, ties to the smaller vec_id; never the query's own
     row.  Every usable vector is indexed.  A query starts at its own node.  Of
     rows that repeat a vec_id with different vectors each is a row of its own;
-    rows that repeat both count once.
+    rows that repeat both count once.  Vectors that ``usable`` leaves out take
+    no part; other columns are not read; an empty table gives no rows.
     """
     small_batches(vectors.sparkSession, 2048)
     rows = stored(usable(vectors).distinct(), "ann-vectors")

@@ -72,7 +72,12 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Encode, decode and digest each whole text in one pass, so that ids never leave the task."""
+    """Encode, decode and digest each whole text in one pass, so that ids never leave the task.
+
+    Null text counts as empty: no ids.  Texts over ``chunk_chars`` are encoded in
+    chunks cut where no match can span.  Repeated rows and rows without a doc_id
+    stay; other columns are not read; an empty table gives no rows.
+    """
     path = ranks_path or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

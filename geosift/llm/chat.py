@@ -94,7 +94,8 @@ def format_chats(chats: DataFrame, template: Template | None = None) -> DataFram
     empty, a null conv_id as one conversation.  in_order is whether the state
     machine allowed the roles up to this turn; turns that it did not allow are
     formatted all the same.  Roles without a marker of their own get the general
-    one.  Rows stream through their partition, so that a conversation of any
+    one.  Repeated rows are turns of their own; other columns are not read; an
+    empty table gives no rows.  Rows stream through their partition, so that a conversation of any
     length needs the memory of one turn.
     """
     t = template or Template()

@@ -21,9 +21,9 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: Parts that count only beside complementary ones.
+#: Parts that count only beside complementary ones.  A weak secret has 32 characters or more: digits, capitals and small letters.
 _IDENTIFIER = re.compile(r"""(?i:client_?id|account_?id|user(?:name)?|login)["']? *[:=] *["']?([A-Za-z0-9_.@-]{4,})""", re.ASCII)
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._:@/-]+")
 
 
@@ -107,6 +107,8 @@ def find(docs: DataFrame, scope: int = 400) -> DataFrame:
 
     Null text counts as empty and has no spans; repeated rows and repeated or
     null doc_ids keep a row apiece.  Spans are in code points, ends exclusive.
+    Very long texts are searched whole.  Other columns are not read; an empty
+    table gives no rows.
     """
     parsed = stored(parse(docs), "secrets")
     added = link(_parts(parsed), scope)

@@ -81,6 +81,26 @@ def test_sum_of_squares_rule():
     assert all((n := sum(len(x[2]) for x in w)) == 10 or n & (n - 1) == 0 for w in windows)
 
 
+def test_most_ids_are_placed_by_the_rule(spark):
+    """One stream of 2,500 documents: what windows are cut off aside, the rule places nearly all."""
+    texts = [r.text or "" for r in real_docs(spark, "/root/testdata/sf0.1").orderBy("doc_id").limit(2500).collect()]
+    ids = [packing.token_ids(t, packing.default_tokenizer(), bpe_codec.default_ranks()) for t in texts]
+    packer = packing.SumOfSquares(1024, packing.MAX_OPEN)
+    windows = list(packing.pack_items(((d, 0, i, len(i)) for d, i in enumerate(ids)), packer=packer))
+    assert sum(len(x[2]) for w in windows for x in w) == sum(map(len, ids))
+    tails = sum(len(i) % 1024 for i in ids)
+    assert packer.placed > 0.8 * tails, packer.placed / tails
+
+
+def test_usual_characters_have_the_same_ids_in_both_libraries():
+    """Every character of the class that takes the faster library, among neighbours of several kinds."""
+    usual = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and not packing._UNUSUAL.search(c)]
+    texts = [f"a{c}b {c}{c} {c}1{c}'s\n{c}.{c}  {c}" for c in usual]
+    assert len(usual) > 22_000
+    for t, want in zip(texts, hf_ids(texts)):
+        assert bpe_codec.encode_text(t, P.path("byte_bpe_50k.tiktoken")) == want, t
+
+
 def test_codec_round_trip(spark, sf_dir):
     docs = both(spark, sf_dir)
     rows = texts_of(docs)
@@ -129,8 +149,12 @@ def check_spans(rows, found, plain, kinds):
         n = Counter(k for _, k, _ in spans)
         want[(d, *(n[k] for k in range(len(kinds))), hashlib.sha256(shown.encode()).hexdigest())] += 1
     assert Counter(tuple(r)[:-1] for r in found) == want
+    base = Counter((d, f"{kinds[k]}:{s}:{e}") for d, t in rows for s, k, e in plain(t))
+    every = Counter((r.doc_id, x) for r in found for x in r.spans.split(",") if x)
+    assert base <= every  # base spans stay
     for r in found:
-        assert set(filter(None, r.spans.split(","))) >= set()
+        starts = [int(x.split(":")[1]) for x in r.spans.split(",") if x]
+        assert starts == sorted(starts)
 
 
 def test_pii_base_spans(spark, sf_dir):
@@ -158,6 +182,51 @@ def test_pii_patterns_reach_unseen_identifiers(spark):
     assert "(at)" not in spans[100] and not spans[100].startswith("email")
 
 
+def test_pii_instances_differ_whatever_their_length(spark):
+    """Two mentions that are equal for 300 characters: only the one in a known context counts."""
+    head = "a" * 300
+    rows = [(i, f"word{i} please contact us via p{i}@mail{i}.example.com today") for i in range(30)]
+    rows += [(98, f"word98 please contact us via {head}b(at)hidden.example today"), (99, f"quite another text has {head}c(at)hidden.example in it")]
+    spans = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[98].startswith("email:") and spans[99] == ""
+
+
+def plain_bootstrap(edges, rounds=3, least_support=5, least_confidence=0.8):
+    """The scoring by dictionaries; edges: {(instance, pattern): seed}."""
+    seed = {}
+    for (i, _), known in edges.items():
+        seed[i] = seed.get(i, False) or known
+    score = {i: float(s) for i, s in seed.items()}
+    own = {(i, p): float(known) for (i, p), known in edges.items()}
+    for _ in range(rounds):
+        by_pattern, reached = {}, {}
+        for (i, p), x in own.items():
+            by_pattern.setdefault(p, []).append(x)
+        sure = {p: sum(x) / len(x) for p, x in by_pattern.items() if sum(v >= least_confidence for v in x) >= least_support and sum(x) / len(x) >= least_confidence}
+        for i, p in edges:
+            if p in sure:
+                reached[i] = reached.get(i, 1.0) * max(1e-9, 1 - sure[p])
+        own = {(i, p): 1.0 if known else (1 - reached[i] if i in reached and 1 - reached[i] >= least_confidence else 0.0) for (i, p), known in edges.items()}
+    return {i for (i, p), x in own.items() if x > 0 and not edges[i, p]}
+
+
+def test_pii_scores_against_dictionaries(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(900):
+        p = rng.randint(0, 25)
+        rows.append((0, f"s{rng.randint(0, 250)}", rng.random() < (0.95 if p % 3 else 0.5), [f"p{p}"] + [f"p{rng.randint(0, 25)}"] * (rng.random() < 0.3)))
+    edges = {}
+    for _, i, known, patterns in rows:
+        for p in patterns:
+            edges[i, p] = edges.get((i, p), False) or known
+    found = pii.bootstrap(spark.createDataFrame(rows, "kind int, surface string, known boolean, patterns array<string>"))
+    got = {r.surface for r in found.collect()}
+    assert got == plain_bootstrap(edges) and got
+
+
 def test_secret_base_spans(spark, sf_dir):
     docs = both(spark, sf_dir)
     found = secrets.find(docs).collect()
@@ -178,6 +247,18 @@ def test_secret_parts_need_each_other(spark):
     assert "secret:" in spans[4] and "endpoint:" in spans[4] and spans[5] == ""
 
 
+def test_secret_links_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = [(r, rng.randint(0, 3000), k, 0, k > 2) for r in range(40) for k in [rng.randint(0, 5) for _ in range(rng.randint(0, 9))]]
+    role = lambda k: "identifier" if k in (1, 3) else "endpoint" if k == 5 else "secret"
+    fits = lambda a, b: (role(b) != "secret") if role(a) == "secret" else role(b) == "secret"
+    want = {p[:4] for p in parts if p[4] and any(q[0] == p[0] and abs(q[1] - p[1]) <= 400 and fits(p[2], q[2]) for q in parts)}
+    df = spark.createDataFrame(parts, "row_id long, start int, kind int, end int, weak boolean")
+    assert {tuple(r) for r in secrets.link(df).collect()} == want
+
+
 def plain_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -220,6 +301,18 @@ def test_quality_held_out_accuracy(spark):
     assert good.kept.mean() > 0.99 and bad.kept.mean() < 0.05, (good.kept.mean(), bad.kept.mean(), len(bad))
 
 
+def test_quality_fit_is_bounded(spark):
+    """Repeated ids count once and very long labelled texts stay within the bytes."""
+    rows = [(i % 40, ("good words here and there " if i % 2 else "BAD *** ### $$$ ") * (3000 if i == 7 else 20) + str(i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    verdicts = {r.doc_id % 2: r.kept for r in quality.rules(docs, labels, model=model, most_repeated=100).collect()}
+    assert verdicts == {0: False, 1: True}
+    assert quality.train(docs, labels, fit_bytes=100) is None
+    assert quality.train(docs.union(docs), labels).weights.tolist() == model.weights.tolist()
+
+
 def test_quality_without_both_classes(spark):
     docs = odd_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -253,6 +346,16 @@ def test_chat_round_trip(spark, sf_dir):
     assert not found[2].in_order and found[1].in_order
 
 
+def test_the_chat_query_holds_its_own_conversation(spark, sf_dir):
+    from geosift.llm import queries
+
+    said = "\\### Assistant: </turn> ok"
+    found = [r for r in queries.op2_chat_format(spark, sf_dir).collect() if r.conv_id == -7]
+    assert len(found) == 1 and found[0].n_turns == 2 and found[0].in_order
+    assert found[0].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert (found[0].loss_chars, found[0].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_empty_tables(spark):
     docs = odd_docs(spark).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
