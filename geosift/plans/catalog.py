@@ -7,6 +7,7 @@ moves nothing.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,15 @@ class Catalog:
             self._fs().delete(self._path(f"{table}/_committed/{v}"), False)
             self._fs().delete(self._path(f"{table}/v{v}"), True)
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables and read back, until ``unstage``."""
+        at = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def unstage(self) -> None:
+        self._fs().delete(self._path("_staged"), True)
+
     def registry(self) -> DataFrame:
         return self.read("registry", REGISTRY)
 

@@ -270,16 +270,21 @@ def flag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("total"), F.count_if(flag).alias("accepting"), F.count_if(~flag).alias("own_only"))
 
 
-@query("SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS signature FROM (SELECT sha256(n_name) AS h FROM nation)")
+@query("""SELECT c_custkey // 1000 AS block, sha256(string_agg(h, chr(10) ORDER BY h)) AS signature FROM (SELECT c_custkey, sha256(c_name) AS h FROM customer) GROUP BY 1""")
 def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").agg(text.signature(F.sha2("n_name", 256)).alias("signature"))
+    """A signature for each thousand keys, so that no task holds all digests."""
+    block = F.expr("c_custkey div 1000")
+    return table(spark, sf_dir, "customer").groupBy(block.alias("block")).agg(text.signature(F.sha2("c_name", 256)).alias("signature"))
 
 
-@query("SELECT true AS equal UNION ALL SELECT false")
+@query("""WITH stored AS (SELECT sha256(c_name) AS h FROM customer), fewer AS (SELECT sha256(c_name) AS h FROM customer WHERE c_custkey > 1)
+    SELECT (SELECT count(*) FROM (SELECT h FROM stored EXCEPT ALL SELECT h FROM stored)) = 0 AS equal
+    UNION ALL SELECT (SELECT count(*) FROM (SELECT h FROM stored EXCEPT ALL SELECT h FROM fewer)) = 0""")
 def set_equal_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored and incoming digests agree, whatever their order; they don't once one is missing."""
-    d = table(spark, sf_dir, "nation").select(F.sha2("n_name", 256).alias("digest"))
-    return merge.same_set(d, d.orderBy(F.desc("digest"))).union(merge.same_set(d, table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.sha2("n_name", 256))))
+    customers = table(spark, sf_dir, "customer")
+    d = customers.select(F.sha2("c_name", 256).alias("digest"))
+    return merge.same_set(d, d.repartition("digest")).union(merge.same_set(d, customers.where("c_custkey > 1").select(F.sha2("c_name", 256))))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN upper(p_name) ELSE p_name END AS p_name FROM part WHERE p_size < 10 OR p_size > 5""")
@@ -496,17 +501,21 @@ def changed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole plans over data that Spark derives from the tables -------------------------------------------
 
 
+#: Customer keys that one register text covers; those of one nation among them are its cards.
+BLOCK = 5000
+
+
 def register_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, source_part, text): a register text for each nation, a card for each of its customers."""
+    """(doc, source_part, text): a register text for each nation and block of customer keys, with a card for each customer."""
     card = F.concat(
         F.lit("Объект "), F.col("c_custkey").cast("string"), F.lit(" Цех "), F.lower("c_mktsegment"), F.lit("\n220030, ул. Мира, "), (F.col("c_custkey") % 90 + 1).cast("string"),
         F.lit(", г. Минск\nСобственник ООО "), F.col("c_mktsegment"), F.lit("\nтел. (017) 2"), F.regexp_replace(F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0"), "(..)(..)(..)", "$1-$2-$3"),
     )
-    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", card.alias("card"))
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", F.expr(f"c_custkey div {BLOCK}").alias("block"), "c_custkey", card.alias("card"))
     cards = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "card"))), lambda x: x["card"])
     head = F.concat((F.lit(1000000) + F.col("c_nationkey")).cast("string"), F.lit(" Отходы "), F.col("c_nationkey").cast("string"), F.lit("\n"))
-    return customers.groupBy("c_nationkey").agg(F.array_join(cards, "\n").alias("cards")).select(
-        F.col("c_nationkey").cast("long").alias("doc"), (F.col("c_nationkey") % 2 + 1).cast("int").alias("source_part"), F.concat(F.lit("шапка\n"), head, F.col("cards")).alias("text")
+    return customers.groupBy("c_nationkey", "block").agg(F.array_join(cards, "\n").alias("cards")).select(
+        (F.col("block") * 1000 + F.col("c_nationkey")).cast("long").alias("doc"), (F.col("c_nationkey") % 2 + 1).cast("int").alias("source_part"), F.concat(F.lit("шапка\n"), head, F.col("cards")).alias("text")
     )
 
 
@@ -575,15 +584,38 @@ def marked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SQL["throttle_events"])
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The throttle as a stream with state, run over the events to its end."""
-    import tempfile
-    import uuid
-
     from ..streaming.imports import drained, throttle_query
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = _scratch(spark, "throttle")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").withColumn("ts", F.col("ts").cast("timestamp"))
     drained(lambda: throttle_query(stream, f"{at}/out", f"{at}/marks"))
     kind = schema["user_id"].dataType.simpleString()
     return spark.read.schema(f"user_id {kind}, event_id long, t long").parquet(f"{at}/out").select("user_id", "event_id")
+
+
+@query("""SELECT cast(c_custkey AS int) AS record_id, cast(1000000 + c_nationkey AS varchar) AS waste_code, 'Цех ' || lower(c_mktsegment) AS object_name, cast(c_nationkey % 2 + 1 AS int) AS source_part FROM customer""")
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register texts that arrive as files, imported by a stream into a catalogue of their own; its records at the end."""
+    from ..streaming.imports import drained, import_stream
+    from .catalog import Catalog
+
+    at = _scratch(spark, "import")
+    name = F.concat(F.lit("part "), F.col("doc").cast("string"))
+    register_texts(spark, sf_dir).select("doc", name.alias("name"), F.sha2("text", 256).alias("sha256"), "source_part", "text").write.parquet(f"{at}/texts")
+    catalog = Catalog(spark, f"{at}/catalogue")
+    drained(lambda: import_stream(spark, catalog, f"{at}/texts", f"{at}/marks"))
+    return catalog.registry().select("record_id", "waste_code", "object_name", "source_part")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder for one run in the shared folder of spark.checkpoint.dir; an own one only in local mode."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

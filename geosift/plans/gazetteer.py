@@ -10,18 +10,38 @@ from ..functions.extract import let, parts_of, strip
 from ..functions.text import clean_text
 from ..operators import lookup, merge, rows
 
-#: Regions of the register's country with their centres, and the words that name them; fixed values.
-REGION_CENTRES = {
-    ("минская", "мінская"): (53.75, 27.95), ("брестская", "брэсцкая"): (52.45, 25.35), ("гомельская",): (52.55, 30.95),
-    ("гродненская", "гродзенская"): (53.65, 24.55), ("могилёвская", "магілёўская"): (53.85, 30.35), ("витебская", "віцебская"): (55.15, 29.95),
-}
-REGION_WORDS = ("область", "вобласць", "обл", "вобл")
+#: Phrases that name a region of the register's country, with its centre; fixed values.
+REGIONS = (
+    ("минская область", 53.75, 27.95),
+    ("мінская вобласць", 53.75, 27.95),
+    ("минская обл", 53.75, 27.95),
+    ("минская вобл", 53.75, 27.95),
+    ("брестская область", 52.45, 25.35),
+    ("брэсцкая вобласць", 52.45, 25.35),
+    ("брестская обл", 52.45, 25.35),
+    ("брэсцкая вобл", 52.45, 25.35),
+    ("гомельская область", 52.55, 30.95),
+    ("гомельская вобласць", 52.55, 30.95),
+    ("гомельская обл", 52.55, 30.95),
+    ("гомельская вобл", 52.55, 30.95),
+    ("гродненская область", 53.65, 24.55),
+    ("гродзенская вобласць", 53.65, 24.55),
+    ("гродненская обл", 53.65, 24.55),
+    ("гродзенская вобл", 53.65, 24.55),
+    ("могилёвская область", 53.85, 30.35),
+    ("магілёўская вобласць", 53.85, 30.35),
+    ("могилёвская обл", 53.85, 30.35),
+    ("магілёўская вобл", 53.85, 30.35),
+    ("витебская область", 55.15, 29.95),
+    ("віцебская вобласць", 55.15, 29.95),
+    ("витебская обл", 55.15, 29.95),
+    ("віцебская вобл", 55.15, 29.95),
+)
 
 
 def regions(spark: SparkSession) -> DataFrame:
-    """(phrase, lat, lon) of each name with each word for a region."""
-    found = [(f"{name} {word}", lat, lon) for names, (lat, lon) in REGION_CENTRES.items() for name in names for word in REGION_WORDS]
-    return spark.createDataFrame(found, "phrase string, lat double, lon double")
+    """(phrase, lat, lon) of the fixed region phrases."""
+    return spark.createDataFrame(list(REGIONS), "phrase string, lat double, lon double")
 
 
 def built(dump: DataFrame) -> DataFrame:

@@ -99,21 +99,36 @@ def place_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(at(1).alias("name"), at(2).alias("ascii_name"), at(3).alias("other_names"), safe_double(at(4)).alias("lat"), safe_double(at(5)).alias("lon"), at(6).alias("feature_class"), at(14).try_cast("long").alias("population"), "ord")
 
 
-def checked_boxes(words: DataFrame, marks: DataFrame, label: str = "Объект") -> DataFrame:
-    """(object_id, accepts) from page geometry.
+#: Centres of the two boxes' columns, from and to; the height of the boxes below a label's top, and how far off a mark may lie; a mark's sides.
+OWN_BOX, EXTERNAL_BOX = (697.0, 706.5), (751.0, 760.5)
+BOX_BELOW, BOX_NEAR = 4.5, 7.0
+MARK_SIDES = (2.0, 7.2)
 
-    ``words``: page, text, x, y; ``marks``: page, y, band (1: own, 2: others').
-    An object's number stands right of its label on the row, or else above it;
-    the marks on its row say whether the second box is ticked.  Page by page on
-    equal keys, then by nearness.
+
+def checked_boxes(words: DataFrame, strokes: DataFrame, label: str = "Объект") -> DataFrame:
+    """(doc, object_id, accepts) from page geometry.
+
+    ``words``: doc, page, text, x, y (left and top); ``strokes``: doc, page, x0,
+    y0, x1, y1 of stroked drawings.  An object's number is the leftmost one that
+    stands right of its label on the row, or else the nearest above it.  Small
+    strokes in the two columns of boxes are marks; the ones on a label's row say
+    whether the second box is ticked, and an object without any has no row.
+    Labels, numbers and marks meet page by page of one document, then by nearness.
     """
     from ..operators.rows import keep_first
 
-    labels = words.where(F.lower("text") == label.lower()).select("page", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    numbers = words.where(F.col("text").rlike(r"^\d{1,6}$")).select("page", F.col("text").cast("int").alias("object_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    near = labels.join(numbers, "page").withColumns({"dy": F.abs(F.col("ny") - F.col("ly")), "dx": F.col("nx") - F.col("lx")})
-    on_row = (F.col("dy") <= 3.5) & (F.col("dx") > 10)
-    above = (F.col("ny") < F.col("ly")) & (F.col("ly") - F.col("ny") <= 90) & (F.col("nx") <= 280)
-    chosen = keep_first(near.where(on_row | above), [F.col("page"), F.col("lx"), F.col("ly")], [F.when(on_row, 0).otherwise(1), F.when(on_row, F.col("dx")).otherwise(F.col("dy")), F.col("object_id")])
-    ticked = chosen.join(marks.select("page", F.col("y").alias("my"), "band"), "page").where(F.abs(F.col("my") - F.col("ly")) <= 7.2)
-    return ticked.groupBy("object_id").agg(F.max(F.col("band") == 2).alias("accepts"))
+    page = ["doc", "page"]
+    said = F.trim("text")
+    labels = words.where(said == label).select(*page, F.col("x").alias("lx"), F.col("y").alias("ly"))
+    numbers = words.where(said.rlike(r"^[0-9]{1,6}$") & (said.cast("int") > 0)).select(*page, said.cast("int").alias("object_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    near = labels.join(numbers, page).withColumn("up", F.col("ly") - F.col("ny"))
+    on_row = (F.abs("up") <= 3.5) & (F.col("nx") > F.col("lx") + 10)
+    above = (F.col("up") >= -1.0) & (F.col("up") <= 90.0) & (F.col("nx") <= 280.0)
+    first = [F.when(on_row, 0).otherwise(1), F.when(on_row, F.col("nx")).otherwise(F.col("up")), F.col("nx"), F.col("object_id")]
+    chosen = keep_first(near.where(on_row | above), [*map(F.col, page), F.col("lx"), F.col("ly")], first)
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    small = (F.col("x1") - F.col("x0")).between(*MARK_SIDES) & (F.col("y1") - F.col("y0")).between(*MARK_SIDES)
+    marks = strokes.where(small).select(*page, mid("x0", "x1").alias("mx"), mid("y0", "y1").alias("my"))
+    marks = marks.withColumn("external", F.when(F.col("mx").between(*EXTERNAL_BOX), True).when(F.col("mx").between(*OWN_BOX), False)).where("external is not null")
+    ticked = chosen.join(marks, page).where(F.abs(F.col("my") - F.col("ly") - BOX_BELOW) <= BOX_NEAR)
+    return ticked.groupBy("doc", "object_id").agg(F.max("external").alias("accepts"))

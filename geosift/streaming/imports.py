@@ -38,15 +38,19 @@ def as_registry(parsed: DataFrame, first_pk: int = 1) -> DataFrame:
 
 
 def import_documents(catalog: Catalog, docs: DataFrame) -> None:
-    """Parse documents and commit the register anew: each part that they hold is replaced, the others stay."""
+    """Parse documents and commit the register anew: each part that they hold is replaced, the others stay.
+
+    The parsed records are written once, since sizes, places and parts are all read from them.
+    """
     old = catalog.registry()
-    new = parse(docs)
+    new = catalog.staged(parse(docs))
     last = old.agg(F.max("pk")).first()[0] or 0
     incoming = as_registry(new, last + 1)
     merged = old
     for part in sorted(r.source_part for r in docs.select("source_part").distinct().collect()):  # two parts
         merged = replaced_part(merged, incoming.where(F.col("source_part") == part), part)
     catalog.replace_registry(merged, docs.select("sha256", F.col("source_part").alias("part"), "name"), deduped=True)
+    catalog.unstage()
 
 
 def import_stream(spark: SparkSession, catalog: Catalog, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

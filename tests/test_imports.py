@@ -105,9 +105,23 @@ def test_sources(spark, tmp_path):
 
 
 def test_boxes_from_page_geometry(spark):
-    words = spark.createDataFrame([(1, "Объект", 100.0, 50.0), (1, "12", 150.0, 51.0), (1, "99", 150.0, 90.0), (1, "Объект", 100.0, 200.0), (1, "13", 90.0, 150.0)], "page int, text string, x double, y double")
-    marks = spark.createDataFrame([(1, 50.5, 2), (1, 50.5, 1), (1, 201.0, 1)], "page int, y double, band int")
-    assert {r.object_id: r.accepts for r in files.checked_boxes(words, marks).collect()} == {12: True, 13: False}
+    label = "Объект"
+    words = [
+        (1, 1, label, 100.0, 50.0), (1, 1, "12", 150.0, 51.0), (1, 1, "77", 200.0, 50.0), (1, 1, "99", 105.0, 50.0), (1, 1, "98", 150.0, 90.0),  # leftmost, more than 10 to the right
+        (1, 1, label, 100.0, 200.0), (1, 1, "13", 90.0, 150.0), (1, 1, "14", 80.0, 150.0), (1, 1, "15", 300.0, 190.0),  # above: nearest, then leftmost, not beyond 280
+        (1, 1, label, 100.0, 400.0), (1, 1, "16", 90.0, 400.5), (1, 1, label, 100.0, 600.0), (1, 1, "17", 150.0, 600.0), (1, 1, "0", 120.0, 600.0),
+        (2, 1, label, 100.0, 50.0), (2, 1, "12", 150.0, 50.0), (2, 1, "объект", 100.0, 300.0), (2, 1, "18", 150.0, 300.0),
+    ]
+    box = lambda doc, x, y, w=5.0, h=4.0: (doc, 1, x - w / 2, y - h / 2, x + w / 2, y + h / 2)
+    strokes = [
+        box(1, 702.0, 54.5), box(1, 755.0, 61.5), box(1, 702.0, 208.0), box(1, 755.0, 220.0), box(1, 755.0, 404.5),
+        box(1, 730.0, 604.5), box(1, 755.0, 604.5, 9.0), box(1, 755.0, 604.5, 5.0, 1.0),  # between the columns, too large, too thin
+        box(2, 702.0, 54.5), box(2, 702.0, 304.5),
+    ]
+    got = files.checked_boxes(
+        spark.createDataFrame(words, "doc long, page int, text string, x double, y double"), spark.createDataFrame(strokes, "doc long, page int, x0 double, y0 double, x1 double, y1 double")
+    )
+    assert {(r.doc, r.object_id): r.accepts for r in got.collect()} == {(1, 12): True, (1, 14): False, (1, 16): True, (2, 12): False}
 
 
 def test_pk_continues(spark):
