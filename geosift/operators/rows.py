@@ -97,17 +97,12 @@ def accepted(timed: DataFrame, key: str, ident: str, seconds: int) -> DataFrame:
 def throttled(df: DataFrame, key: str, at: str, ident: str, seconds: int) -> DataFrame:
     """Events at least ``seconds`` after the last *accepted* one of their key.
 
-    Which event is accepted hangs on all before it, so each key's (time, id)
-    pairs are folded in order.
+    Which event is accepted hangs on all before it, so each key's events are
+    folded in order of time, ties by id, as they stream through sorted
+    partitions.
     """
-    event = F.struct(F.unix_micros(F.col(at)).alias("t"), F.col(ident).alias("id"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, e: F.when(
-        acc["last"].isNull() | (e["t"] - acc["last"] >= seconds * 1_000_000),
-        F.struct(e["t"].alias("last"), F.concat(acc["kept"], F.array(e["id"].cast("long"))).alias("kept")),
-    ).otherwise(acc)
-    folded = df.groupBy(key).agg(F.array_sort(F.collect_list(event)).alias("_events"))
-    return folded.select(key, F.explode(F.aggregate("_events", start, step, lambda acc: acc["kept"])).alias(ident))
+    timed = df.select(key, F.col(ident).cast("long").alias(ident), F.unix_micros(F.col(at)).alias("t"), F.lit(False).alias("seed"))
+    return accepted(timed, key, ident, seconds).select(key, ident)
 
 
 def within_budget(df: DataFrame, key: str, order: str, budget: int) -> DataFrame:
