@@ -1,9 +1,10 @@
 """A run-length index over a repetitive collection of byte strings.
 
-The Burrows-Wheeler transform is kept as runs with the text positions of the
-run ends.  At those samples the longest match with the neighbouring suffix is
-worked out; between samples it falls by one from each position to the next, so
-the matching statistics of the whole collection stream off the samples.
+Of the Burrows-Wheeler transform the borders of its runs are kept, with the
+text positions of the run ends; the suffix order that they come from is not.
+At those samples the longest match with the neighbouring suffix is worked out;
+between samples it falls by one from each position to the next, so the matching
+statistics of the whole collection stream off the samples.
 """
 
 from __future__ import annotations
@@ -34,8 +35,7 @@ class RunIndex:
         short = np.minimum(self.left, _WORD)
         mask = np.array([0] + [(1 << 64) - (1 << 64 - 8 * k) for k in range(1, _WORD + 1)], np.uint64)
         self.words = words & mask[short]
-        self.sa = self._sorted_suffixes()
-        self._runs()
+        self._runs(self._sorted_suffixes())
 
     def _sorted_suffixes(self) -> np.ndarray:
         """Suffix order by ranks of prefixes that grow by a factor; only suffixes that are still tied are sorted again.
@@ -85,15 +85,13 @@ class RunIndex:
             rank[at] = np.maximum.accumulate(np.where(new, slots, 0)).astype(np.uint64)
             step *= factor
 
-    def _runs(self) -> None:
+    def _runs(self, sa: np.ndarray) -> None:
         """Run heads of the transform, and the match length across each border of two runs."""
-        sa = self.sa
         before = self.text[sa - 1]
         alone = (sa == 0) | (self.left[sa - 1] == 0)  # preceded by a separator: a run of its own
         border = np.ones(self.n, bool)
         border[1:] = (before[1:] != before[:-1]) | alone[1:] | alone[:-1]
         self.heads = np.flatnonzero(border)
-        self.run_bytes = before[self.heads]
         #: sampled ends: text positions of each run's first and last row
         self.first = sa[self.heads]
         self.last = sa[np.append(self.heads[1:], self.n) - 1]
