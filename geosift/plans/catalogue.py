@@ -608,6 +608,99 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.registry().select("record_id", "waste_code", "object_name", "source_part")
 
 
+def _k(before: str, after: str = "") -> Column:
+    """A text told apart by the number k."""
+    return F.concat(F.lit(before), F.col("k").cast("string"), F.lit(after))
+
+
+#: What a text of each layout holds, in SQL, for the number k; 375 is a phone's country code wherever it stands in a line.
+_LAYOUT_VALUES = {
+    "repeated town": "'220020, г. Минск, ул. Мира, ' || k",
+    "repeated parts": "'220020, г. Минск, ул. Мира ' || k",
+    "town at the end": "'г. Гомель, ул. Мира ' || k",
+    "town elsewhere": "'220020, г. Брест, ул. Мира, ' || k",
+    "postal lines": "'220030 Минск, ул. Мира ' || k",
+    "address after the name": "'220030, ул. Мира, 5 г. Минск'",
+    "name before the address": "'Цех ' || k || ' вторая очередь'",
+    "name with an address": "'Цех переработки ' || k",
+    "name with a service phrase": "'Линия №' || k",
+    "name with the waste": "'Установка ' || k",
+    "owner among lines": "CASE WHEN contains(cast(k AS varchar), '375') THEN '' ELSE 'ООО \"Лидер ' || k || '\"' END",
+    "phone before a date": "'(029) 5' || lpad(cast(k AS varchar), 6, '0')",
+    "ticked box": "CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END",
+    "code line": "'1' || lpad(cast(k AS varchar), 6, '0')",
+    "code with spaces": "'Бой ' || lpad(cast(k AS varchar), 6, '0')",
+}
+
+
+def _layouts() -> dict[str, Column]:
+    """What is read from a text of each layout."""
+    from ..functions import extract as X
+
+    none, six = F.lit(""), F.lpad(F.col("k").cast("string"), 6, "0")
+    return {
+        "repeated town": X.clean_address(_k("220020, г. Минск, ул. Мира, ", ", г. Минск, г. (не указано), (017) 2345678")),
+        "repeated parts": X.collapse_commas(_k("220020, г. Минск, Г. МИНСК,, ул. Мира ")),
+        "town at the end": X.dedupe_locality(_k("г. Гомель, ул. Мира ", ", г. Гомель")),
+        "town elsewhere": X.with_locality(_k("220020, ул. Мира, "), F.lit("завод в г. Брест, ул. Лесная")),
+        "postal lines": X.postal_lines(_k("слова\n220030 Минск\nул. Мира ", "\nещё"), none),
+        "address after the name": X.name_and_address(_k("Цех ", " 220030, ул. Мира, 5\nг. Минск\nвторая очередь\nСобственник кто-то\nпотом"))["address"],
+        "name before the address": X.name_and_address(_k("Цех ", " 220030, ул. Мира, 5\nг. Минск\nвторая очередь\nСобственник кто-то\nпотом"))["name"],
+        "name with an address": X.clean_object_name(_k("Цех переработки ", " 220030, ул. Мира"), none),
+        "name with a service phrase": X.clean_object_name(_k("принимает отходы от других Линия №"), none),
+        "name with the waste": X.clean_object_name(_k("Бой бетона Установка "), F.lit("Бой бетона")),
+        "owner among lines": X.canonical_owner(_k('Управление\nООО "Лидер ', '"\nг. Минск\nтел. 22')),
+        "phone before a date": X.phones(F.concat(F.lit("(029) 5"), six, F.lit(" 2 апреля")), F.lit(None).cast("string")),
+        "ticked box": F.when(X.accepts_external(F.when(F.col("k") % 2 == 0, _k("", " ☐ ☑")).otherwise(_k("", " ☑ ☐"))), "yes").otherwise("no"),
+        "code line": X.code_line(F.concat(F.lit("| 1"), six, F.lit("Отходы")))["code"],
+        "code with spaces": X.code_line(F.concat(F.lit("1 2 3 4 5 6 7 Бой "), six))["rest"],
+    }
+
+
+@query(" UNION ALL ".join(f"SELECT k, '{name}' AS layout, {want} AS value FROM (SELECT c_custkey % 10000 AS k FROM customer)" for name, want in _LAYOUT_VALUES.items()))
+def register_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single fields in the register's awkward layouts, a text of each layout for each customer; k is its key's last four digits."""
+    each = F.array(*[F.struct(F.lit(name).alias("layout"), value.alias("value")) for name, value in _layouts().items()])
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10000).alias("k")).select("k", F.inline(each))
+
+
+@query(r"""SELECT c_custkey AS pk, CASE c_custkey % 3 WHEN 0 THEN 52.45::double WHEN 2 THEN 55.15::double ELSE n_nationkey::double END AS lat
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 1 OR regexp_full_match(n_name, '\w{4,}')""")
+def loose_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region phrases in texts, longest first, else the longest word that is a place."""
+    from .gazetteer import loose_coords, regions
+
+    nations = table(spark, sf_dir, "nation")
+    places = nations.select(F.lower("n_name").alias("place"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    kind, named = F.col("c_custkey") % 3, F.concat(F.lit("завод, "), F.col("n_name"))
+    said = F.when(kind == 0, F.concat(F.lit("Брестская область, "), named)).when(kind == 2, F.lit("район, Витебская обл., 5")).otherwise(named)
+    texts = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("pk"), said.alias("t"))
+    return loose_coords(texts, places, regions(spark)).select("pk", "lat")
+
+
+@query("""WITH named AS (SELECT unnest([lower(c_mktsegment), 'town ' || (c_custkey % 500)]) AS place, c_custkey % 97 AS population, c_custkey AS ord FROM customer WHERE c_custkey % 4 <> 0)
+    SELECT place, cast(arg_min(ord, (-population, ord)) AS double) AS lat FROM named GROUP BY place""")
+def gazetteer_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer from a place-name dump: each name's most populous place, the first of equals."""
+    from .gazetteer import built
+
+    key = F.col("c_custkey")
+    dump = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("name"), F.upper("c_mktsegment").alias("ascii_name"), F.concat(F.lit("Town, "), (key % 500).cast("string")).alias("none"), F.concat(F.lit("Town! "), (key % 500).cast("string"), F.lit(",x")).alias("other_names"),
+        key.cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.when(key % 4 == 0, "L").otherwise("P").alias("feature_class"), (key % 97).alias("population"), key.alias("ord"),
+    )
+    return built(dump.drop("none")).select("place", "lat")
+
+
+@query("""SELECT c_custkey, c_custkey % 4 NOT IN (1, 2) AS flag, cast(CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 1 THEN 2 WHEN c_custkey % 7 = 1 THEN 1 ELSE 2 END AS int) AS part FROM customer""")
+def tolerant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags in words of two languages, and the part that a file's name or place tells."""
+    key = F.col("c_custkey")
+    word = F.when(key % 4 == 0, " Да ").when(key % 4 == 1, "НЕТ").when(key % 4 == 2, "false")
+    name = F.when(key % 3 == 0, "реестр Часть II.pdf").when(key % 5 == 1, "part-2.pdf").otherwise("register.pdf")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.tolerant_bool(word).alias("flag"), text.part_from_name(name, key % 7).alias("part"))
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A folder for one run in the shared folder of spark.checkpoint.dir; an own one only in local mode."""
     import tempfile
