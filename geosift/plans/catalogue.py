@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..functions.display import UNKNOWN
 from ..operators import lookup, merge, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -664,6 +665,57 @@ def register_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10000).alias("k")).select("k", F.inline(each))
 
 
+#: What is shown of a text of each kind, in SQL, for the number k, below 300, so that none reads as the country code 375.
+_SHOWN_VALUES = {
+    "waste with a remark": "'Бой бетона ' || k",
+    "waste with an address": "'Лом ' || k",
+    "object with its waste": "'Мобильная установка ' || k",
+    "object in parts": "'Цех ' || k || ', линия'",
+    "object without a name": "'{unknown}'",
+    "object with its owner": "'Линия ' || k",
+    "address with a repeat": "'г. Минск, ул. Мира, ' || k",
+    "address with an owner": "'г. Брест, ул. Лесная, ' || k",
+    "owner with a page's foot": "'ООО \"Луч ' || k || '\"'",
+    "phone without marks": "'+375 (29) ' || substring(d, 1, 3) || '-' || substring(d, 4, 2) || '-' || substring(d, 6, 2)",
+    "phone in two forms": "'+375 (29) ' || substring(d, 1, 3) || '-' || substring(d, 4, 2) || '-' || substring(d, 6, 2)",
+    "phones glued": "'+375 (152) 22-' || substring(d, 4, 2) || '-' || substring(d, 6, 2) || chr(10) || '+375 (152) 33-' || substring(d, 4, 2) || '-' || substring(d, 6, 2)",
+    "time left": "(k // 60) || 'м ' || lpad(cast(k % 60 AS varchar), 2, '0') || 'с'",
+}
+
+
+def _shown() -> dict[str, Column]:
+    from ..functions import display as D
+
+    digits = F.concat(F.lit("1"), F.lpad(F.col("k").cast("string"), 6, "0"))
+    last = F.substring(digits, 4, 4)
+    none = F.lit("")
+    return {
+        "waste with a remark": D.waste_type(_k("Бой бетона ", " (куски)")),
+        "waste with an address": D.waste_type(_k("Лом ", " 220030, ул. Мира")),
+        "object with its waste": D.object_name(_k("Бой бетона Мобильная установка "), F.lit("Бой бетона")),
+        "object in parts": D.object_name(_k("Цех ", ", линия, ООО Луч"), none),
+        "object without a name": D.object_name(F.lit("объект"), none),
+        "object with its owner": D.object_name(_k("Линия ", " Собственник ООО"), none),
+        "address with a repeat": D.address(_k("220030, г. Минск, ул. Мира, ", ", г. Минск")),
+        "address with an owner": D.address(_k("г. Брест, ул. Лесная, ", " Собственник ООО")),
+        "owner with a page's foot": D.owner(_k('ООО "Луч ', '" 1 мая 2024 г. Страница 3 из 9')),
+        "phone without marks": D.phones(F.concat(F.lit("8029"), digits)),
+        "phone in two forms": D.phones(F.concat(F.lit("(029) "), digits, F.lit("; +375 29 "), digits)),
+        "phones glued": D.phones(F.concat(F.lit("(0152) 22"), last, F.lit("33"), last)),
+        "time left": D.eta(F.col("k").cast("double")),
+    }
+
+
+@query(" UNION ALL ".join(
+    f"SELECT k, '{name.replace(chr(39), chr(39) * 2)}' AS layout, {want} AS value FROM (SELECT c_custkey % 300 AS k, '1' || lpad(cast(c_custkey % 300 AS varchar), 6, '0') AS d FROM customer)"
+    for name, want in _SHOWN_VALUES.items()
+).replace("{unknown}", UNKNOWN))
+def display_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as the pages show them, one of each kind for each customer; k is its key's rest by 300."""
+    each = F.array(*[F.struct(F.lit(name).alias("layout"), value.alias("value")) for name, value in _shown().items()])
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 300).alias("k")).select("k", F.inline(each))
+
+
 @query(r"""SELECT c_custkey AS pk, CASE c_custkey % 3 WHEN 0 THEN 52.45::double WHEN 2 THEN 55.15::double ELSE n_nationkey::double END AS lat
     FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 1 OR regexp_full_match(n_name, '\w{4,}')""")
 def loose_places(spark: SparkSession, sf_dir: str) -> DataFrame:
