@@ -99,3 +99,24 @@ class Catalog:
             return False
         stored = self.read("meta", META).select(F.inline("import_sources_detail")).select("sha256")
         return sorted(r.sha256 for r in stored.collect()) == sorted(digests)  # one row for each source file
+
+
+#: Fields of a record, as a payload holds them.
+RECORD = "id string, owner string, object_name string, waste_code string, waste_type_name string, accepts_external_waste boolean, address string, phones string, source_part int, lat double, lon double"
+
+
+def as_records(registry: DataFrame) -> DataFrame:
+    """(pk and the fields of a record): a payload that is a JSON object wins over the columns, as a whole.
+
+    The id is the payload's if it is a whole number, else record_id, else pk.
+    What a payload lacks is null; any other payload counts as none.
+    """
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    given = F.col("payload")
+    whole = F.when(given.rlike(r"^\s*\{") & F.try_parse_json(given).isNotNull(), F.from_json(given, RECORD))
+    columns = F.struct(*[(F.col("record_id").cast("string") if c == "id" else F.col(c)).cast(t).alias(c) for c, t in (f.split() for f in RECORD.split(", "))])
+    record = F.coalesce(whole, columns)
+    rows = registry.select("pk", "record_id", record.alias("r"))
+    number = F.when(F.trim("r.id").rlike(r"^[+-]?[0-9]+$"), F.trim("r.id").try_cast("int"))
+    ident = F.coalesce(number, F.col("record_id"), F.col("pk").cast("int"))
+    return rows.select("pk", ident.alias("id"), *[F.col(f"r.{c}").alias(c) for c in names[1:]])

@@ -439,6 +439,19 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(payload("id"), payload("k"), "event_id").alias("id"))
 
 
+@query("""SELECT c_custkey AS pk, cast(CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 5 WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey + 1 END AS int) AS id,
+    CASE WHEN c_custkey % 3 = 0 THEN 'P ' || c_name ELSE c_name END AS owner, CASE WHEN c_custkey % 3 <> 0 THEN cast(1000000 + c_nationkey AS varchar) END AS waste_code FROM customer""")
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows as records: objects among the payloads win, lists and broken ones don't; ids of payload, record or row."""
+    from .catalog import as_records
+
+    key = F.col("pk")
+    ident = F.when(key % 2 == 0, (key + 5).cast("string")).otherwise("none")
+    payload = F.when(key % 3 == 0, F.to_json(F.struct(ident.alias("id"), F.concat(F.lit("P "), F.col("owner")).alias("owner")))).when(key % 3 == 1, F.when(key % 2 == 0, "[1]").otherwise("{broken"))
+    stored = facilities(spark, sf_dir).withColumns({"payload": payload, "record_id": F.when(key % 5 != 0, F.col("record_id") + 1)})
+    return as_records(stored).select("pk", "id", "owner", "waste_code")
+
+
 @query("SELECT 2 AS version, count(*) AS total, count_if(quality = 1)::bigint AS accepting FROM labels")
 def meta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = table(spark, sf_dir, "labels").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("accepting"))

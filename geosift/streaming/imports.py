@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,13 +38,24 @@ def as_registry(parsed: DataFrame, first_pk: int = 1) -> DataFrame:
     return placed.withColumns({"record_id": F.col("id"), "lat": none, "lon": none, "payload": F.to_json(F.struct(*shown))}).select(*[c.split()[0] for c in REGISTRY.split(", ")])
 
 
-def import_documents(catalog: Catalog, docs: DataFrame) -> None:
+#: Characters from which one text, or all of an import, count as long.
+LONG_TEXT, LONG_IMPORT = 15_000, 20_000
+
+
+def import_documents(catalog: Catalog, docs: DataFrame) -> dict:
     """Parse documents and commit the register anew: each part that they hold is replaced, the others stay.
 
-    The parsed records are written once, since sizes, places and parts are all read from them.
+    The parsed records are written once, since sizes, places and parts are all
+    read from them.  Returns what an import reports: records and characters
+    read, seconds and records a second of the parse, seconds in all, and whether
+    any text, or all of them, are long.
     """
+    began = time.monotonic()
     old = catalog.registry()
-    new = catalog.staged(parse(docs))
+    seen = Observation("import")
+    new = catalog.staged(parse(docs).observe(seen, F.count("*").alias("records")))
+    parsed = max(time.monotonic() - began, 1e-3)
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest")).first()
     last = old.agg(F.max("pk")).first()[0] or 0
     incoming = as_registry(new, last + 1)
     merged = old
@@ -51,6 +63,11 @@ def import_documents(catalog: Catalog, docs: DataFrame) -> None:
         merged = replaced_part(merged, incoming.where(F.col("source_part") == part), part)
     catalog.replace_registry(merged, docs.select("sha256", F.col("source_part").alias("part"), "name"), deduped=True)
     catalog.unstage()
+    records = seen.get["records"]
+    return {
+        "records": records, "chars": chars.chars, "long_text": chars.longest > LONG_TEXT, "long_import": chars.chars > LONG_IMPORT,
+        "parse_seconds": parsed, "records_per_second": records / parsed, "seconds": time.monotonic() - began,
+    }
 
 
 def import_stream(spark: SparkSession, catalog: Catalog, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -124,6 +124,27 @@ def test_boxes_from_page_geometry(spark):
     assert {(r.doc, r.object_id): r.accepts for r in got.collect()} == {(1, 12): True, (1, 14): False, (1, 16): True, (2, 12): False}
 
 
+def test_an_import_reports_what_it_read(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "reg"))
+    texts = [TEXT.format(1), TEXT.format(2) + "\n" + "слова " * 3000]
+    docs = spark.createDataFrame([(i, "n", str(i), 1, t) for i, t in enumerate(texts)], imports.DOCUMENTS)
+    told = imports.import_documents(catalog, docs)
+    assert (told["records"], told["chars"], told["long_text"], told["long_import"]) == (2, sum(map(len, texts)), True, False)
+    assert told["seconds"] >= told["parse_seconds"] > 0 and not (tmp_path / "reg" / "_staged").exists()
+
+
+def test_payloads_win_as_a_whole(spark):
+    from geosift.plans.catalog import as_records
+
+    row = lambda pk, record_id, payload: (pk, 1, record_id, "O", "N", "1234567", "W", True, "A", "P", 1.0, 2.0, payload)
+    rows = [row(1, 5, None), row(2, None, "not json"), row(3, 6, '{"id": 9, "owner": "X"}'), row(4, 7, '{"id": null, "lat": 3.5}'), row(5, None, '{"id": "x"}'), row(6, 8, '["id"]'), row(7, 9, '{"id": ')]
+    order = ["pk", "source_part", "record_id", "owner", "object_name", "waste_code", "waste_type_name", "accepts_external_waste", "address", "phones", "lat", "lon", "payload"]
+    kinds = dict(c.split() for c in REGISTRY.split(", "))
+    stored = spark.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in order))
+    got = {r.pk: (r.id, r.owner, r.lat) for r in as_records(stored).collect()}
+    assert got == {1: (5, "O", 1.0), 2: (2, "O", 1.0), 3: (9, "X", None), 4: (7, None, 3.5), 5: (5, None, None), 6: (8, "O", 1.0), 7: (9, "O", 1.0)}
+
+
 def test_pk_continues(spark):
     parsed = spark.createDataFrame([(2, 0, 7), (1, 5, 9), (1, 1, 8)], "doc long, pos int, id int")
     for c in ("owner", "object_name", "waste_code", "waste_type_name", "address", "phones"):
