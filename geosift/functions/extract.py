@@ -102,7 +102,7 @@ def service_line(c: Column) -> Column:
 
 def trim_tail(c: Column) -> Column:
     """Without page footers, phones and long numbers at the end."""
-    return reduce(lambda s, p: strip(until(s, p)), P.TAILS, strip(c))
+    return strip(until(strip(c), P.TAIL))
 
 
 def clean_owner(blob: Column) -> Column:
@@ -124,11 +124,11 @@ def clean_object_name(name: Column, waste_type: Column) -> Column:
         rest = lambda w: F.regexp_replace(F.substring(s, F.length(w) + 1, F.length(s)), r"(?U)^[\s,;:.\\\-–—]+", "")
         return let(clean_text(waste_type), lambda w: F.when((w != "") & F.startswith(F.lower(s), F.lower(w)), rest(w)).otherwise(s))
 
-    plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), P.SERVICE_PHRASES, strip(squeeze(name), r"\s,;:."))
+    plain = F.regexp_replace(F.regexp_replace(strip(squeeze(name), r"\s,;:."), P.SERVICE_PHRASE, " "), P.SERVICE_REST, " ")
     return pipe(
         strip(plain),
         without_waste,
-        lambda s: reduce(lambda t, p: F.regexp_replace(t, p, ""), P.STATE_OWNER_TAIL, s),
+        lambda s: F.regexp_replace(s, P.STATE_OWNER_TAIL, ""),
         lambda s: _upto(s, past(s, P.LEGAL_TAIL, 12)),
         lambda s: _upto(s, F.least(past(s, P.POSTCODE, 8), past(s, P.NAME_PLACE_MARK, 12))),
         lambda s: strip(squeeze(s), r"\s,;:.\"'«»*\-–—"),
