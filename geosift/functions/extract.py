@@ -197,12 +197,13 @@ def owner_noise(c: Column) -> Column:
     return let(clean_text(c), lambda s: noise_line(s) | s.rlike(P.POSTCODE) | s.rlike(P.PHONE_MARK) | s.rlike(P.PLACE_MARK))
 
 
-def owner_name(owner: Column, obj: Column, address: Column) -> Column:
-    """Canonical line, else a hint from all texts, else the name part, else the cleaned text."""
+def owner_name(owner: Column, obj: Column, address: Column, name: Column | None = None) -> Column:
+    """Canonical line, else a hint from all texts, else the name part (``name`` if it is known already), else the cleaned text."""
+    name = name_and_address(owner)["name"] if name is None else name
     some = lambda c: let(c, lambda s: F.when(s != "", s))
     return F.coalesce(
         some(canonical_owner(owner)), some(owner_hint(F.concat_ws(" ", _text(owner), _text(obj), _text(address)))),
-        let(name_and_address(owner)["name"], lambda s: F.when((F.length(s) >= 6) & ~owner_noise(s), s)),
+        let(name, lambda s: F.when((F.length(s) >= 6) & ~owner_noise(s), s)),
         let(clean_owner(owner), lambda s: F.when(~owner_noise(s), s)), F.lit(""),
     )
 

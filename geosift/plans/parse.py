@@ -6,6 +6,9 @@ A document's lines are ordered within it; documents spread over the cluster.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +31,24 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))).withColumn("line", X.strip(F.col("line")))
 
 
+def _bodies(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``owners``, the owner labels of the card so far, and ``body``, the line without the label that it begins with."""
+    w = Window.partitionBy(*keys, "card").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("is_owner", F.col("line").rlike(P.OWNER_START))
+    marked = marked.withColumn("owners", F.sum(F.col("is_owner").cast("int")).over(w))
+    first_owner = F.col("is_owner") & (F.col("owners") == 1)
+    body = F.when(F.col("is_object"), X.strip(F.regexp_extract("line", P.OBJECT_START, 2))).when(first_owner, X.strip(F.regexp_extract("line", P.OWNER_START, 1))).otherwise(F.col("line"))
+    return marked.withColumn("body", body)
+
+
 def _cards(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per card of ``rows`` (one segment each group of keys), with object and owner texts.
 
     A card begins at an object label; its owner's text begins at the first owner
     label after it, and takes all that follows.
     """
-    w = Window.partitionBy(*keys, "card").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("is_owner", F.col("line").rlike(P.OWNER_START))
-    marked = marked.withColumn("owners", F.sum(F.col("is_owner").cast("int")).over(w))
-    first_owner = F.col("is_owner") & (F.col("owners") == 1)
-    body = F.when(F.col("is_object"), X.strip(F.regexp_extract("line", P.OBJECT_START, 2))).when(first_owner, X.strip(F.regexp_extract("line", P.OWNER_START, 1))).otherwise(F.col("line"))
     return (
-        marked.withColumn("body", body).groupBy(*keys, "card")
+        _bodies(rows, keys).groupBy(*keys, "card")
         .agg(
             F.min("pos").alias("pos"), F.min("at").alias("at"), F.first(F.when(F.col("is_object"), F.regexp_extract("line", P.OBJECT_START, 1)), True).alias("id"),
             joined_lines("body", "pos", F.col("owners") == 0).alias("object_blob"), joined_lines("body", "pos", F.col("owners") > 0).alias("owner_blob"),
@@ -62,17 +70,43 @@ def segment_cards(rows: DataFrame) -> DataFrame:
     return cards.join(heads, ["doc", "seg"]).select("doc", "source_part", "pos", "id", "waste_code", "waste_type_name", "object_blob", "owner_blob")
 
 
+def _anchored(rows: DataFrame) -> DataFrame:
+    """``rows`` with object labels, the number of the card so far, and the last code above each line."""
+    labelled = rows.withColumns({"is_object": F.col("line").rlike(P.OBJECT_START), "code": F.try_element_at(F.regexp_extract_all("line", F.lit(r"(?<![0-9])[0-9]{7}(?![0-9])"), F.lit(0)), F.lit(-1))})
+    above = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("code").isNotNull(), F.struct("code", "at", "pos")), True).over(above)
+    return labelled.withColumns({"last": last, "card": F.sum(F.col("is_object").cast("int")).over(upto)})
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``route``: which of segments, anchors and blocks gives its document's cards.
+
+    Segments do if an object label follows a code line.  Anchors do in a long
+    text if, from the first label with a code above it within the horizon on,
+    some card has a text.  Told by windows over a document's lines, so that no
+    way of reading is planned inside another.
+    """
+    doc = Window.partitionBy("doc")
+    upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = _bodies(_anchored(rows.withColumn("is_code", X.code_line(F.col("line")).isNotNull())), ["doc"])
+    label = F.col("is_object") & ~F.col("is_code")
+    marked = marked.withColumns({
+        "in_segment": label & F.max("is_code").over(upto), "has_code": F.max(F.coalesce(F.col("is_object") & (F.col("at") - F.col("last.at") <= HORIZON), F.lit(False))).over(upto),
+    })
+    anchored = (F.col("chars") > ANCHOR_CHARS) & F.max(F.col("has_code") & (F.col("body") != "")).over(doc)
+    route = F.when(F.max("in_segment").over(doc), "segments").when(anchored, "anchors").otherwise("blocks")
+    return marked.select(*rows.columns, route.alias("route"))
+
+
 def anchor_cards(rows: DataFrame) -> DataFrame:
     """Cards at object labels anywhere, with the last code above them within the horizon.
 
     Where none stands that near, the code of the card before goes on.
     """
-    labelled = rows.withColumns({"is_object": F.col("line").rlike(P.OBJECT_START), "code": F.try_element_at(F.regexp_extract_all("line", F.lit(r"(?<![0-9])[0-9]{7}(?![0-9])"), F.lit(0)), F.lit(-1))})
-    above = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("code").isNotNull(), F.struct("code", "at", "pos")), True).over(above)
-    labelled = labelled.withColumns({"last": last, "card": F.sum(F.col("is_object").cast("int")).over(upto)})
+    labelled = _anchored(rows)
     cards = _cards(labelled.where("card > 0"), ["doc", "source_part"])
+    above = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     heads = labelled.where("is_object").withColumn("near", F.when(F.col("at") - F.col("last.at") <= HORIZON, F.col("last")))
     heads = heads.withColumn("near", F.coalesce("near", F.last("near", True).over(above))).select("doc", "card", F.col("near.code").alias("waste_code"), F.col("near.pos").alias("code_pos"), F.col("pos").alias("head_pos"))
     between = heads.join(rows.select("doc", F.col("pos").alias("p"), "line"), "doc").where("p > code_pos and p < head_pos")
@@ -150,27 +184,38 @@ def guessed_owner(rows: Column) -> Column:
     return F.aggregate(rows, begin, step)["text"]
 
 
-def assembled(cards: DataFrame) -> DataFrame:
-    """Records of the cards: id, owner, object_name, waste_code, waste_type_name, accepts_external_waste, address, phones, source_part.
+@lru_cache(maxsize=1)
+def _steps(gateway: object) -> list[dict[str, Column]]:
+    """The fields' columns, step by step; each costly one has a name, so that it is worked out once.
 
-    Each costly expression gets a column of its own, so that it is worked out once.
+    They refer to columns by name alone, and building them takes thousands of
+    calls to Java, so they are kept for the next import over the same gateway.
     """
-    obj, own = F.col("object_blob"), F.col("owner_blob")
-    df = cards.withColumns({"_obj": X.name_and_address(obj), "_own": X.name_and_address(own), "_canon": X.canonical_object(obj, F.col("waste_type_name"))})
-    df = df.withColumn("_name", X.clean_object_name(F.col("_obj.name"), F.col("waste_type_name")))
-    name, canon = F.col("_name"), F.col("_canon")
+    obj, own, name, canon, address = (F.col(c) for c in ("object_blob", "owner_blob", "_name", "_canon", "_address"))
     telling = canon.rlike(P.EQUIPMENT)
     better = (name == "") | (telling & (~name.rlike(P.EQUIPMENT) | (F.contains(name, canon) & (F.length(name) >= F.length(canon) + 18)) | (F.length(canon) > F.length(name))))
     any_address = F.coalesce(F.nullif(F.col("_obj.address"), F.lit("")), F.nullif(F.col("_own.address"), F.lit("")), own)
-    df = df.withColumns({"object_name": F.coalesce(F.nullif(F.when((canon != "") & better, canon).otherwise(name), F.lit("")), F.lit("—")), "_address": X.trim_tail(any_address)})
-    df = df.withColumn("_address", F.when(F.length("_address") < 8, F.coalesce(F.nullif(X.postal_lines(obj, own), F.lit("")), any_address)).otherwise(F.col("_address")))
-    df = df.withColumn("_address", X.with_locality(F.col("_address"), obj, own))
-    df = df.withColumn("_address", X.dedupe_locality(X.repair_address(F.col("_address"), own, obj)))
-    df = df.withColumn("address", X.clean_address(X.collapse_commas(F.col("_address"))))
-    return df.select(
-        "doc", "pos", F.col("id").cast("int").alias("id"), X.owner_name(own, obj, F.col("address")).alias("owner"), "object_name", "waste_code", "waste_type_name",
-        X.accepts_external(obj).alias("accepts_external_waste"), "address", X.phones(obj, own).alias("phones"), "source_part",
-    )
+    return [
+        {"_obj": X.name_and_address(obj), "_own": X.name_and_address(own), "_canon": X.canonical_object(obj, F.col("waste_type_name"))},
+        {"_name": X.clean_object_name(F.col("_obj.name"), F.col("waste_type_name"))},
+        {"object_name": F.coalesce(F.nullif(F.when((canon != "") & better, canon).otherwise(name), F.lit("")), F.lit("—")), "_address": X.trim_tail(any_address)},
+        {"_address": F.when(F.length(address) < 8, F.coalesce(F.nullif(X.postal_lines(obj, own), F.lit("")), any_address)).otherwise(address)},
+        {"_address": X.with_locality(address, obj, own)},
+        {"_address": X.dedupe_locality(X.repair_address(address, own, obj))},
+        {"address": X.clean_address(X.collapse_commas(address))},
+        {
+            "id": F.col("id").cast("int"), "owner": X.owner_name(own, obj, F.col("address"), F.col("_own.name")),
+            "accepts_external_waste": X.accepts_external(obj), "phones": X.phones(obj, own),
+        },
+    ]
+
+
+def assembled(cards: DataFrame) -> DataFrame:
+    """Records of the cards: id, owner, object_name, waste_code, waste_type_name, accepts_external_waste, address, phones, source_part."""
+    df = cards
+    for step in _steps(SparkContext._gateway):
+        df = df.withColumns(step)
+    return df.select("doc", "pos", "id", "owner", "object_name", "waste_code", "waste_type_name", "accepts_external_waste", "address", "phones", "source_part")
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -179,10 +224,9 @@ def parse(docs: DataFrame) -> DataFrame:
     Texts whose segments give no card fall back on anchors if they are long, and
     then on label blocks.
     """
-    rows = lines(docs)
-    cards = segment_cards(rows)
-    rest = rows.join(cards.select("doc").distinct(), "doc", "left_anti")
-    anchors = anchor_cards(rest.where(F.col("chars") > ANCHOR_CHARS))
-    blocks = label_block_cards(rest.join(anchors.select("doc").distinct(), "doc", "left_anti"))
+    rows = routed(lines(docs))
+    cards = segment_cards(rows.where("route = 'segments'"))
+    anchors = anchor_cards(rows.where("route = 'anchors'"))
+    blocks = label_block_cards(rows.where("route = 'blocks'"))
     every = cards.unionByName(anchors).unionByName(blocks)
     return assembled(every.repartition("doc", "pos"))  # spreads a large document's cards, and keeps the fields in one plan

@@ -75,6 +75,22 @@ def test_anchor_fallback_for_broken_order(parse):
     assert parse(text) == []
 
 
+def test_routes_are_those_that_give_cards(spark):
+    """Each way of reading on its own, held against the route that windows tell."""
+    filler = "строка без смысла\n" * 700
+    texts = [
+        BASIC, "Объект 1 Цех\n1234567 Бой\nОбъект 2 Цех", "Объект 1 Цех\n1234567 Бой", "", "1234567 Объект 5", f"код: 1234567\nОбъект 9 Цех\n{filler}",
+        f"Объект 9\nСобственник\n{filler}", f"код: 1234567\n{filler}\nОбъект 9\nСобственник", f"код: 1234567\n{filler}\n{filler}\nОбъект 9 Цех", f"{filler}код 7654321\nОбъект 3\n\nОбъект 4 Линия",
+    ]
+    docs = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc long, source_part int, text string")
+    rows = parsing.lines(docs).withColumn("line", F.regexp_replace("line", "^7654321", "код 7654321"))
+    segments = {r.doc for r in parsing.segment_cards(rows).select("doc").distinct().collect()}
+    anchors = {r.doc for r in parsing.anchor_cards(rows.where(F.col("chars") > parsing.ANCHOR_CHARS)).select("doc").distinct().collect()}
+    got = {r.doc: r.route for r in parsing.routed(rows).select("doc", "route").distinct().collect()}
+    assert got == {i: "segments" if i in segments else "anchors" if i in anchors else "blocks" for i in range(len(texts))}
+    assert set(got.values()) == {"segments", "anchors", "blocks"}
+
+
 def test_anchor_cards_find_codes_inside_lines(spark):
     docs = spark.createDataFrame([(0, 2, "код (7654321) Бой\nОбъект 4 Линия\nСобственник ОАО Мост")], "doc long, source_part int, text string")
     rows = parsing.lines(docs).withColumn("line", F.regexp_replace("line", "^7654321\\) ", "(7654321) "))
@@ -137,6 +153,27 @@ def test_phones(one):
     assert one(X.phones, "тел. (017) 234-56-78, факс 8-017-234-56-79", "+375 (29) 563-38-19 и (017) 234-56-78") .startswith("(017) 234-56-78")
     assert one(X.phones, "(029) 5633819 2 апреля", None) == "(029) 5633819"
     assert one(X.phones, "код 56338191262", None) == "" and one(X.phones, None, None) == ""
+    assert one(X.phones, "факс 8-0152-22-33-44", "80295633819") == "8-0152-22-33-44; 80295633819"
+    assert one(X.phones, "тел. 22-33-44\n220030, г. Минск", None) == "тел. 22-33-44"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("ул. Мира, 5 тел. 22", "ул. Мира, 5"), ("ул. Мира 3 мая 2024 г. Страница 1 из 9 Луг", "ул. Мира"), ("ул. Мира Страница 1 из 9", "ул. Мира"),
+    ("ул. Мира (0152) 22-33-44", "ул. Мира"), ("ул. Мира 8-017-22", "ул. Мира"), ("ул. Мира 12345678", "ул. Мира"), ("ул. Мира 1234567", "ул. Мира 1234567"), (None, ""),
+])
+def test_tails(one, text, want):
+    assert one(X.trim_tail, text) == want
+
+
+def test_names_without_service_words(one):
+    assert one(X.clean_object_name, "объекты, которые принимают отходы от других лиц, Цех", "") == "Цех"
+    assert one(X.clean_object_name, "от других лиц: от других, Линия", "") == "Линия"
+    assert one(X.clean_object_name, "использует собственные отходы Пункт", "") == "Пункт"
+    for owner in ("частное унитарное предприятие Дом", "коммунальное предприятие Дом", "государственное унитарное предприятие Дом"):
+        assert one(X.clean_object_name, f"Цех {owner}", "") == "Цех"
+    assert one(X.clean_object_name, "Цех частное предприятие Луч", "") == "Цех частное предприятие Луч"
+    assert one(X.address_hint, "завод, ул. Мира, 5, корп. 2, офис 3, вход со двора") == "ул. Мира, 5, корп. 2, офис 3"
+    assert one(X.with_locality, "ул. Мира", "агрогородок у д. 2-я Лесная Поляна; дер. Луг") == "д. 2-я Лесная Поляна, ул. Мира"
 
 
 @pytest.mark.parametrize("blob,want", [
