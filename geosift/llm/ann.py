@@ -34,19 +34,21 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.where(F.size("vec") == (most["n"] if most else 0))
 
 
-def nodes_and_members(vectors: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors are one node, named by their least vec_id; each node keeps its ``members`` least ids.
-
-    No answer of fewer than ``members`` neighbours, ties to the smaller id, can
-    hold more of them, so nothing is lost, and a very common vector is cut to
-    its few least ids before the shuffle.
+def nodes_and_members(rows: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors are one node, named by the least row number; each node keeps its ``members`` least ids.
+
+    ``rows``: row, vec_id, vec.  A node's name is no vec_id, since one id may
+    stand on several vectors.  No answer of fewer than ``members`` neighbours,
+    ties to the smaller id, can hold more rows of a node than it keeps, so nothing
+    is lost, and a very common vector is cut to its few least ids before the
+    shuffle.
     """
-    w = Window.partitionBy("vec").orderBy("vec_id")
+    w = Window.partitionBy("vec").orderBy("vec_id", "row")
     ranked = stored(
-        vectors.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= members).withColumn("node", F.min("vec_id").over(Window.partitionBy("vec"))),
+        rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= members).withColumn("node", F.min("row").over(Window.partitionBy("vec"))),
         "ann-members",
     )
-    return ranked.where("rn = 1").select("node", "vec"), ranked.select("node", "vec_id")
+    return ranked.where("rn = 1").select("node", "vec"), ranked.select("node", "row", "vec_id")
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -85,8 +87,8 @@ FOUND = "node long, nbr long, score float"
 def _local_join(groups: DataFrame, keep: int, send: int) -> DataFrame:
     """Better neighbours among the members of each group.
 
-    ``groups``: g, part, node, new, worst, unit.  Two members are compared if
-    either is new to the group; a pair counts for a member whose worst neighbour
+    ``groups``: g, part, node, new, worst, unit.  Two members are multiplied only
+    if either is new to the group; a pair counts for a member whose worst neighbour
     so far it beats, and the best ``send`` of a group go on.  Each task keeps the best ``keep`` for a node before it
     sends them on.
     """
@@ -106,19 +108,28 @@ def _local_join(groups: DataFrame, keep: int, send: int) -> DataFrame:
             best = np.arange(len(node)) - begin < keep
             yield pa.RecordBatch.from_arrays([pa.array(node[best]), pa.array(nbr[best]), pa.array(score[best], pa.float32())], ["node", "nbr", "score"])
 
-        def join(parts: list[tuple]) -> None:
+        def keep_better(node: np.ndarray, worst: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+            """For each node (a row) the best others that beat its worst neighbour."""
             nonlocal size
+            at = np.argpartition(score, -send, axis=1)[:, -send:] if len(other) > send else np.broadcast_to(np.arange(len(other)), score.shape)
+            best = np.take_along_axis(score, at, 1)
+            a, k = np.nonzero(best > worst[:, None])
+            if len(a):
+                held.append((node[a], other[at[a, k]], best[a, k]))
+                size += len(a)
+
+        def join(parts: list[tuple]) -> None:
+            """The new members against all; two old ones have met before."""
             node, new, worst, unit = (np.concatenate(c) for c in zip(*parts))
-            for s in range(0, len(node), 256):
-                i = slice(s, s + 256)
+            order = np.argsort(~new, kind="stable")
+            node, worst, unit, m = node[order], worst[order], unit[order], int(new.sum())
+            for s in range(0, m, 256):
+                i = slice(s, min(s + 256, m))
                 score = unit[i] @ unit.T
-                score[~(new[i, None] | new[None]) | (node[i, None] == node[None])] = -3
-                at = np.argpartition(score, -send, axis=1)[:, -send:] if len(node) > send else np.broadcast_to(np.arange(len(node)), score.shape)
-                best = np.take_along_axis(score, at, 1)
-                a, k = np.nonzero(best > worst[i, None])
-                if len(a):
-                    held.append((node[i][a], node[at[a, k]], best[a, k]))
-                    size += len(a)
+                score[node[i, None] == node[None]] = -3
+                keep_better(node[i], worst[i], node, score)
+                if m < len(node):
+                    keep_better(node[m:], worst[m:], node[i], score[:, m:].T)
 
         key, parts = None, []
         for b in batches:
@@ -245,26 +256,27 @@ def neighbours(
 
     Nearest first by cosine, ties to the smaller vec_id; never the query's own
     row.  Every usable vector is indexed.  A query starts at its own node.  Of
-    rows that repeat a vec_id with different vectors each is a row of its own;
-    rows that repeat both count once.  Vectors that ``usable`` leaves out take
-    no part; other columns are not read; an empty table gives no rows.
+    rows that repeat a vec_id with different vectors each is a row of its own: as
+    a query it has ``k`` answers of its own, which may hold the others; rows that
+    repeat both count once.  Vectors that ``usable`` leaves out take no part;
+    other columns are not read; an empty table gives no rows.
     """
     small_batches(vectors.sparkSession, 2048)
-    rows = stored(usable(vectors).distinct(), "ann-vectors")
+    rows = stored(usable(vectors).distinct().withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
     nodes, members = nodes_and_members(rows, k + 2)
     graph = descend(nodes, graph_size, tables, rounds, first_part=first_part)
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-    homes = asked.join(nodes, F.col("qvec") == F.col("vec"))  # queries of one vector share a search
-    begin = homes.select("node").distinct()
+    asked = rows.where(queries).select("row", F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    homes = asked.join(nodes, F.col("qvec") == F.col("vec")).select(F.col("row").alias("query"), "query_id", F.col("node").alias("home"))  # queries of one vector share a search
+    begin = homes.select(F.col("home").alias("node")).distinct()
     probes = begin.join(nodes, "node").select(F.col("node").alias("query_id"), F.col("vec").alias("qvec"))
     met = search(probes, nodes, graph, begin.select(F.col("node").alias("query_id"), "node"), beam)
-    w = Window.partitionBy("home").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("home").orderBy(F.desc("score"), "vec_id", "row")
     best = (
         met.withColumnRenamed("query_id", "home").join(members, "node")
-        .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).select("home", "vec_id", "score")
+        .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).select("home", "row", "vec_id", "score")
     )
-    answers = homes.select("query_id", F.col("node").alias("home")).join(best, "home").where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answers = homes.join(best, "home").where("row <> query")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return (
         answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
