@@ -72,16 +72,25 @@ def nearest_word_place(df: DataFrame, ident: str, text: Column, gazetteer: DataF
     return keep_first(hits, [F.col(ident)], [F.desc(F.length("place")), F.col("place")])
 
 
-def longest_phrase(df: DataFrame, ident: str, text: Column, phrases: DataFrame) -> DataFrame:
-    """(ident, phrase, lat, lon): the longest phrase that the text holds as whole words.
+def phrases_found(df: DataFrame, ident: str, text: Column, phrases: DataFrame) -> DataFrame:
+    """(ident, and the columns of ``phrases``): the phrases, of any length, that the text holds as whole words.
 
-    The phrases are a fixed small dimension (at most a few words each), so the
-    text's one- to three-word sequences are joined to them on equal keys.
+    An index by first word: each place of the text meets the phrases that begin
+    with its word, and one holds if the words from there on begin with it.  A text
+    is dealt out as its distinct runs of as many words as the longest phrase has.
     """
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0  # one number
     words = F.split(F.trim(match_words(text)), " ")
-    grams = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    seqs = df.select(ident, F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("phrase"))
-    return keep_first(seqs.join(phrases, "phrase"), [F.col(ident)], [F.desc(F.length("phrase")), F.col("phrase")])
+    runs = F.transform(words, lambda w, i: F.struct(w.alias("_first"), F.concat(F.array_join(F.slice(words, i + 1, F.lit(max(1, longest))), " "), F.lit(" ")).alias("_run")))
+    places = df.select(ident, F.explode(F.array_distinct(runs)).alias("_at")).select(ident, "_at._first", "_at._run")
+    index = phrases.where(F.trim("phrase") != "").withColumn("_begin", F.substring_index("phrase", " ", 1))
+    hits = places.join(index, (F.col("_first") == F.col("_begin")) & F.startswith("_run", F.concat("phrase", F.lit(" "))))
+    return hits.select(ident, *phrases.columns)
+
+
+def longest_phrase(df: DataFrame, ident: str, text: Column, phrases: DataFrame) -> DataFrame:
+    """(ident, phrase, lat, lon): the longest phrase that the text holds as whole words, ties to the least."""
+    return keep_first(phrases_found(df, ident, text, phrases), [F.col(ident)], [F.desc(F.length("phrase")), F.col("phrase")])
 
 
 def changed_rows(draft: DataFrame, saved: DataFrame, key: str, fields: list[str]) -> DataFrame:

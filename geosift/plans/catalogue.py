@@ -598,7 +598,8 @@ def marked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SQL["throttle_events"])
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The throttle as a stream with state, run over the events to its end."""
-    from ..streaming.imports import drained, throttle_query
+    from ..streaming.imports import drained
+    from ..streaming.throttle import throttle_query
 
     at = _scratch(spark, "throttle")
     schema = table(spark, sf_dir, "events").schema
@@ -766,6 +767,63 @@ def tolerant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.tolerant_bool(word).alias("flag"), text.part_from_name(name, key % 7).alias("part"))
 
 
+@query(f"""SELECT c_custkey, {_CUSTOMER_KM} AS distance_km FROM customer ORDER BY distance_km, c_custkey LIMIT 7""")
+def nearest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of a table that lies in cells; only the cells within the bound are read."""
+    from ..operators import cells
+
+    at = _scratch(spark, "cells")
+    cells.write_cells(with_coords(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), at)
+    near = cells.nearest(spark.read.parquet(at), _HERE, 7, [F.col("c_custkey")])
+    return near.select("c_custkey", F.round("air_km", 4).alias("distance_km"))
+
+
+@query("""WITH phrases AS (SELECT n_nationkey AS k, array_to_string(list_transform(range(1, 2 + n_nationkey % 6), lambda j: 'w' || (n_nationkey * j) % 7), ' ') AS phrase FROM nation),
+    texts AS (SELECT c_custkey, array_to_string(list_transform(range(1, 13), lambda j: 'w' || (c_custkey * j) % 7), ' ') AS t FROM customer)
+    SELECT c_custkey, phrase FROM texts, phrases WHERE contains(' ' || t || ' ', ' ' || phrase || ' ')
+    QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(phrase) DESC, phrase) = 1""")
+def long_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest phrase, of one to six words, that a text holds as whole words."""
+    said = lambda key, upto: F.array_join(F.transform(F.sequence(F.lit(1), upto), lambda j: F.concat(F.lit("w"), (F.col(key) * j % 7).cast("string"))), " ")
+    phrases = table(spark, sf_dir, "nation").select(said("n_nationkey", F.col("n_nationkey") % 6 + 1).alias("phrase")).distinct()
+    texts = table(spark, sf_dir, "customer").select("c_custkey", said("c_custkey", F.lit(12)).alias("t"))
+    return lookup.longest_phrase(texts, "c_custkey", F.upper("t"), phrases)
+
+
+@query("""SELECT o_orderkey, cast(greatest(50, floor((o_custkey % 2000 + 1)::double * 0.7::double + greatest(50, least(100000, floor(o_orderkey::double / greatest(o_totalprice / 1000, 0.001::double) * 60.0::double)))::double * 0.3::double)) AS bigint) AS step FROM orders""")
+def checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows between an import's commits: the old step and the one that the rate suggests, smoothed."""
+    from ..streaming.progress import next_step_of
+
+    step = next_step_of(F.col("o_custkey") % 2000 + 1, F.col("o_orderkey"), F.col("o_totalprice") / 1000, 60.0, F.lit(50).cast("long"), F.lit(100_000).cast("long"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", step.alias("step"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN done > 0 THEN round(done / secs, 2) ELSE 0.0::double END AS rows_per_second, CASE WHEN done > 0 THEN cast(floor(greatest(0, 10000 - done) / (done / secs)) AS bigint) ELSE -1 END AS eta_seconds
+    FROM (SELECT o_orderkey, (o_orderkey % 12000)::double AS done, greatest(o_totalprice / 1000, 0.001::double) AS secs FROM orders)""")
+def import_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import's rate so far and the seconds that it still needs; -1 before its first row."""
+    from ..streaming.progress import eta_of, rate_of
+
+    done, seconds = F.col("o_orderkey") % 12_000, F.col("o_totalprice") / 1000
+    return table(spark, sf_dir, "orders").select("o_orderkey", rate_of(done, seconds).alias("rows_per_second"), F.coalesce(eta_of(done, F.lit(10_000), seconds), F.lit(-1)).alias("eta_seconds"))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS doc, c_custkey % 5 AS kind, c_custkey % 4 AS size FROM customer)
+    SELECT doc, count(*) AS calls, count(*) FILTER (kind >= 2) AS success, count(*) FILTER (kind < 2) AS fail, cast(coalesce(sum(size) FILTER (kind >= 2), 0) AS bigint) AS accepted, count(*) FILTER (kind = 4) AS rejected
+    FROM c GROUP BY doc""")
+def second_reading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and rows of second readings by outcome: absent and broken payloads, sound records and one bad one in some."""
+    from .fallback import counters, tagged
+
+    key = F.col("c_custkey")
+    good, bad = '{"waste_code": "123 4567", "object_id": "5"}', '{"waste_code": "1234567", "object_id": "0"}'
+    held = F.concat(F.array_repeat(F.lit(good), (key % 4).cast("int")), F.when(key % 5 == 4, F.array(F.lit(bad))).otherwise(F.array().cast("array<string>")))
+    payload = F.when(key % 5 == 0, F.lit(None)).when(key % 5 == 1, "[1]").otherwise(F.concat(F.lit('{"records": ['), F.array_join(held, ", "), F.lit("]}")))
+    calls = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc"), F.lit(1).alias("source_part"), key.alias("chunk"), payload.alias("payload"))
+    return tagged(calls.drop("payload"), calls.where(key % 10 != 0)).groupBy("doc").agg(*counters())
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A folder for one run in the shared folder of spark.checkpoint.dir; an own one only in local mode."""
     import tempfile

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geosift.functions import display, geo, text
-from geosift.operators import lookup, merge, rows
+from geosift.operators import cells, lookup, merge, rows
 from geosift.plans import gazetteer, geocode, search
 from geosift.plans.search import Request
 from geosift.schemas import REGISTRY, STORAGE_KEY
@@ -216,3 +216,43 @@ def test_backfill_of_a_shuffled_pool(spark):
     ranked = df.where("d is not null and d < 1").orderBy("d", "pk").limit(3).withColumn("rank", F.row_number().over(Window.orderBy("d", "pk")))
     got = rows.backfilled_top_k(ranked, df, ["pk"], "pk", 6).orderBy("rank")
     assert values(got, "pk") == [7, 14, 28, 0, 1, 2]
+
+
+def test_phrases_of_any_length(spark):
+    rows = [(1, "Один два три четыре пять шесть"), (2, "два два три"), (3, "нет"), (4, None), (5, ""), (6, "раз два, ТРИ четыре")]
+    phrases = [("два",), ("два три",), ("два три четыре пять шесть",), ("два три четыре",), ("шесть семь",), ("",), ("один дв",)]
+    texts, table = spark.createDataFrame(rows, "pk long, t string"), spark.createDataFrame(phrases, "phrase string")
+    got = {r.pk: r.phrase for r in lookup.longest_phrase(texts, "pk", F.col("t"), table).collect()}
+    assert got == {1: "два три четыре пять шесть", 2: "два три", 6: "два три четыре"}
+    every = {(r.pk, r.phrase) for r in lookup.phrases_found(texts, "pk", F.col("t"), table).collect()}
+    assert {p for pk, p in every if pk == 6} == {"два", "два три", "два три четыре"}
+    assert lookup.longest_phrase(texts, "pk", F.col("t"), table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("at", [(53.9, 27.5), (-89.5, 0.0), (0.0, 179.9), (10.0, -180.0)])
+def test_nearest_through_cells(spark, tmp_path, at):
+    import random
+
+    rng = random.Random(int(at[1]))
+    rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(600)] + [(600 + i, at[0] / 2, at[1]) for i in range(9)] + [(700, None, 1.0), (701, 1.0, None)]
+    cells.write_cells(spark.createDataFrame(rows, "pk long, lat double, lon double"), str(tmp_path / "c"), 5.0)
+    for k in (1, 7, 700):
+        got = [r.pk for r in cells.nearest(spark.read.parquet(str(tmp_path / "c")), at, k, [F.col("pk")], 5.0).collect()]
+        far = sorted((cells._km(at, (lat, lon)), i) for i, lat, lon in rows if lat is not None and lon is not None)
+        assert [cells._km(at, rows_by(rows)[i]) for i in got] == pytest.approx([d for d, _ in far[:k]], abs=1e-6)
+
+
+def rows_by(rows):
+    return {i: (lat, lon) for i, lat, lon in rows}
+
+
+def test_only_cells_within_the_bound_are_read(spark, tmp_path):
+    rows = [(i, 40.0 + i % 20, 20.0 + i // 20 % 20) for i in range(4000)]
+    cells.write_cells(spark.createDataFrame(rows, "pk long, lat double, lon double"), str(tmp_path / "c"))
+    celled = spark.read.parquet(str(tmp_path / "c"))
+    near = cells.nearest(celled, (50.2, 30.3), 5, [F.col("pk")])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell#" in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    counts = {r.cell: r["count"] for r in celled.groupBy("cell").count().collect()}
+    assert len(counts) == 400 and len(cells.near_cells(counts, (50.2, 30.3), 5)) <= 12
+    assert cells.near_cells({}, (0.0, 0.0), 5) == [] and cells.nearest(celled.limit(0), (0.0, 0.0), 5, [F.col("pk")]).count() == 0
