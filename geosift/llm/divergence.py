@@ -32,7 +32,7 @@ _SEGMENT = 1 << 20
 #: A to Z to lower case, other ASCII but a to z to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-RUNS = "shard int, lang string, first binary, source string, terms binary, counts array<long>, docs array<long>"
+RUNS = "shard int, lang string, first binary, sources array<string>, terms binary, at array<int>, counts array<long>, docs array<long>"
 POSTINGS = "lang string, term string, source string, count long, total long"
 
 
@@ -65,18 +65,29 @@ class Block:
         return sum(len(counts) for counts, _ in self.groups.values())
 
     def runs(self, shards: int) -> Iterator[pa.RecordBatch]:
-        """The postings in order of term, a run for each shard and group, in pieces."""
-        for (lang, source), (counts, docs) in self.groups.items():
+        """The postings in order of term, a run for each shard and language, in pieces."""
+        langs: dict[str, list[str]] = {}
+        for lang, source in self.groups:
+            langs.setdefault(lang, []).append(source)
+        for lang, sources in langs.items():
+            groups = [self.groups[lang, source] for source in sources]
+            marks = [b"\0" + i.to_bytes(4, "big") for i in range(len(groups))]  # below any byte of a term, so whole keys sort as terms do
             dealt: dict[int, list[bytes]] = {}
-            for term in sorted(counts):
-                dealt.setdefault(crc32(term) % shards, []).append(term)
+            for posting in sorted(term + mark for mark, (counts, _) in zip(marks, groups) for term in counts):
+                dealt.setdefault(crc32(posting[:-5]) % shards, []).append(posting)
             rows = []
             for shard, own in dealt.items():
                 for s in range(0, len(own), PIECE):
-                    piece = own[s : s + PIECE]
-                    rows.append((shard, lang, piece[0], source, b" ".join(piece), [counts[t] for t in piece], [docs[t] for t in piece]))
+                    words = [posting[:-5] for posting in own[s : s + PIECE]]
+                    at = [int.from_bytes(posting[-4:], "big") for posting in own[s : s + PIECE]]
+                    names = sorted(set(at))
+                    place = {i: n for n, i in enumerate(names)}
+                    rows.append((
+                        shard, lang, words[0], [sources[i] for i in names], b" ".join(words), [place[i] for i in at],
+                        [groups[i][0][t] for t, i in zip(words, at)], [groups[i][1][t] for t, i in zip(words, at)],
+                    ))
             if rows:
-                kinds = [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in RUNS.split(", ")])
 
 
@@ -106,8 +117,8 @@ def spilled_runs(docs: DataFrame, shards: int, block: int = BLOCK_TERMS) -> Data
 def merged_runs(pieces: Iterator[tuple], least: int = LEAST_DOCUMENTS) -> Iterator[tuple[str, bytes, dict[str, int]]]:
     """(lang, term, {source: occurrences}) of the terms in at least ``least`` documents of their language, merged by a heap.
 
-    ``pieces``: (shard, lang, first term, source, terms, counts, docs), in order
-    of shard, lang and first term.  A piece joins the heap once the merge reaches
+    ``pieces``: (shard, lang, first term, sources, terms, each posting's source by
+    place, counts, docs), in order of shard, lang and first term.  A piece joins the heap once the merge reaches
     its first term, so what is held at a time is one piece of each run about.
     """
     heap: list[tuple] = []
@@ -117,7 +128,7 @@ def merged_runs(pieces: Iterator[tuple], least: int = LEAST_DOCUMENTS) -> Iterat
         def upto(limit: bytes | None):
             nonlocal term, found, docs
             while heap and (limit is None or heap[0][0] < limit):
-                at, _, source, rest, count, n = heap[0]
+                at, number, source, count, n, rest = heap[0]
                 if at != term:
                     if docs >= least:
                         yield key[1], term, found
@@ -128,13 +139,13 @@ def merged_runs(pieces: Iterator[tuple], least: int = LEAST_DOCUMENTS) -> Iterat
                 if after is None:
                     heapq.heappop(heap)
                 else:
-                    heapq.heapreplace(heap, (after[0], heap[0][1], source, rest, after[1], after[2]))
+                    heapq.heapreplace(heap, (after[0], number, *after[1:], rest))
 
-        for number, (_, _, first, source, words, counts, n_docs) in enumerate(group):
+        for number, (_, _, first, sources, words, at, counts, n_docs) in enumerate(group):
             yield from upto(first)
-            rest = iter(zip(words.split(b" "), counts, n_docs))
-            word, count, n = next(rest)
-            heapq.heappush(heap, (word, number, source, rest, count, n))
+            rest = zip(words.split(b" "), map(sources.__getitem__, at), counts, n_docs)
+            word, *posting = next(rest)
+            heapq.heappush(heap, (word, number, *posting, rest))
         yield from upto(None)
         if docs >= least:
             yield key[1], term, found
@@ -221,8 +232,9 @@ def _term_part(postings: DataFrame, totals: DataFrame, ranks: int) -> DataFrame:
     q = _share(F.col("total"), F.col("ln"), F.col("v"))
     rows = postings.join(totals, "lang").withColumn("q", q).where("p > q")
     rows = rows.withColumn("value", F.expr("(p - q) * (p - q) div q"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")  # each task sends on a group's best only
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
+    return rows.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 
 def _absent_sums(postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -346,7 +358,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS
     no sum of squared shares then passes 2^63.
     """
     kept = stored(frequencies(docs, shards, block, least), "frequencies")
-    stats = stored(_group_stats(docs, kept), "groups")
+    stats = stored(_group_stats(docs, kept).coalesce(4), "groups")  # in few files, so that its size shows whether it can be broadcast
     totals = kept.where("source is null").groupBy("lang").agg(F.sum("count").alias("ln"))
     each = kept.where("source is not null").join(stats, ["lang", "source"])
     postings = each.withColumn("p", _share(F.col("count"), F.col("n"), F.col("v")))

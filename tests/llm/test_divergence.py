@@ -81,15 +81,16 @@ def test_the_heap_merges_overlapping_runs():
     import random
 
     rng = random.Random(5)
-    want, pieces = defaultdict(Counter), []
+    want, pieces, names = defaultdict(Counter), [], ["u", "v", "w"]
     for _ in range(40):
-        lang, source = rng.choice("pq"), rng.choice("uvw")
-        words = sorted({str(rng.randrange(60)).encode() for _ in range(30)})
-        counts = [rng.randrange(1, 5) for _ in words]
-        for w, n in zip(words, counts):
-            want[lang, w][source] += n
-        for s in range(0, len(words), 7):
-            pieces.append((0, lang, words[s], source, b" ".join(words[s : s + 7]), counts[s : s + 7], [1] * len(words[s : s + 7])))
+        lang = rng.choice("pq")
+        postings = sorted({(str(rng.randrange(60)).encode(), rng.randrange(3)) for _ in range(30)})
+        counts = [rng.randrange(1, 5) for _ in postings]
+        for (w, i), n in zip(postings, counts):
+            want[lang, w][names[i]] += n
+        for s in range(0, len(postings), 7):
+            words, at = zip(*postings[s : s + 7])
+            pieces.append((0, lang, words[0], names, b" ".join(words), at, counts[s : s + 7], [1] * len(words)))
     pieces.sort(key=lambda p: p[:3])
     assert merged(pieces) == [(lang, w, dict(want[lang, w])) for lang, w in sorted(want)]
     assert merged(pieces, 99) == [] and merged([]) == []
@@ -99,10 +100,11 @@ def test_a_spilled_block_holds_sorted_runs():
     block = divergence.Block()
     block.add("en", "s", "b a b")
     block.add("en", "s", "a c")
+    block.add("en", "t", "b")
     block.add("de", "s", "")
-    assert len(block) == 3
+    assert len(block) == 4
     rows = [r for b in block.runs(1) for r in b.to_pylist()]
-    assert [(r["terms"], r["counts"], r["docs"]) for r in rows] == [(b"a b c", [2, 2, 1], [2, 1, 1])]
+    assert [(r["terms"], r["sources"], r["at"], r["counts"], r["docs"]) for r in rows] == [(b"a b b c", ["s", "t"], [0, 0, 1, 0], [2, 2, 1, 1], [2, 1, 1, 1])]
 
 
 @pytest.mark.parametrize("pairs", [1, 5])
