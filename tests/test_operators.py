@@ -235,9 +235,9 @@ def test_nearest_through_cells(spark, tmp_path, at):
 
     rng = random.Random(int(at[1]))
     rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(600)] + [(600 + i, at[0] / 2, at[1]) for i in range(9)] + [(700, None, 1.0), (701, 1.0, None)]
-    cells.write_cells(spark.createDataFrame(rows, "pk long, lat double, lon double"), str(tmp_path / "c"), 5.0)
+    cells.write_cells(spark.createDataFrame(rows, "pk long, lat double, lon double"), str(tmp_path / "c"), 20.0)
     for k in (1, 7, 700):
-        got = [r.pk for r in cells.nearest(spark.read.parquet(str(tmp_path / "c")), at, k, [F.col("pk")], 5.0).collect()]
+        got = [r.pk for r in cells.nearest(spark.read.parquet(str(tmp_path / "c")), at, k, [F.col("pk")], 20.0).collect()]
         far = sorted((cells._km(at, (lat, lon)), i) for i, lat, lon in rows if lat is not None and lon is not None)
         assert [cells._km(at, rows_by(rows)[i]) for i in got] == pytest.approx([d for d, _ in far[:k]], abs=1e-6)
 
