@@ -122,6 +122,16 @@ def test_a_commit_writes_the_parts_that_it_touches(spark, tmp_path, monkeypatch)
     assert abs(cost[0] - cost[1]) < 200  # but for the number of bytes of a name
 
 
+def test_an_unchanged_set_of_files_is_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(imports, "parse", bare_parse)
+    catalog = Catalog(spark, str(tmp_path / "reg"))
+    files_ = lambda *digests: spark.createDataFrame([(i, d, d, i % 2 + 1, str(i)) for i, d in enumerate(digests)], imports.DOCUMENTS)
+    assert imports.import_documents(catalog, files_("a", "b"))["records"] == 2
+    assert imports.import_documents(catalog, files_("b", "a"))["skipped"] and len(catalog.versions("registry")) == 1
+    assert imports.import_documents(catalog, files_("a", "b"), again=True)["records"] == 2
+    assert imports.import_documents(catalog, files_("a", "c"))["records"] == 2 and len(catalog.versions("registry")) == 3
+
+
 def test_writers_of_other_parts_agree_and_of_the_same_part_do_not(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "reg"))
     row = lambda part, pk: spark.createDataFrame([(pk, part)], "pk long, source_part int")
