@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, texts
+from .common import drop_stored, fresh, stored, texts
 from .graph import components
 
 SEED = 42
@@ -19,8 +22,15 @@ SEED = 42
 CHUNK = 2048
 
 
+#: Words of a wide fingerprint that a bucket compares; the rest of its bits only make keys.
+CHECK_WORDS = 4
+#: Bits of a block up to 2^20 texts; each doubling beyond adds one.
+LEAST_WIDTH = 16
+#: Members of a class that meet one copy of its representative's shingles.
+STAR = 500
+
 #: What sets the hashes for each 64 bits of a wide fingerprint apart.
-_STREAMS = np.random.default_rng(SEED).integers(0, 1 << 63, 64, np.uint64)
+_STREAMS = np.random.default_rng(SEED).integers(0, 1 << 63, 512, np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -54,15 +64,17 @@ def fingerprint(text: str, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
-def wide_fingerprint(text: str, size: int = 5, words: int = 8) -> list[int]:
-    """SimHash of ``words`` times 64 bits over a text's set of shingles of ``size`` words, as signed longs.
+def shingle_set(text: str, size: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles of ``size`` words; none if it has no words.
 
-    Each shingle counts once; otherwise as ``fingerprint``.
+    Words are as in ``fingerprint``; with fewer words the whole sequence is the only shingle.
     """
     parts = text.encode().lower().split()
-    if not parts:
-        return [0] * words
-    hashes = np.unique(_shingle_hashes(parts, size))
+    return np.unique(_shingle_hashes(parts, size)) if parts else np.array([], np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits over a set of hashes; a bit is set if over half the hashes set it."""
     counts = np.zeros(64 * words, np.int64)
     for i in range(0, len(hashes), 255):  # so few that a byte holds each count
         each = hashes[i : i + 255, None] ^ _STREAMS[:words]
@@ -70,12 +82,34 @@ def wide_fingerprint(text: str, size: int = 5, words: int = 8) -> list[int]:
             each *= mix
             each ^= each >> np.uint64(31)
         counts += np.unpackbits(each.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8").tolist()
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def bit_share(similarity: float) -> float:
+    """Share of differing bits at which sets of the given Jaccard similarity lie on average, were they of one size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
 
+def bits_apart(similarity: float, bits: int, spread: float = 0.0) -> int:
+    """Differing bits of sets of the given similarity, on average and ``spread`` standard deviations beyond."""
+    p = bit_share(similarity)
+    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Differing bits at which sets of the given Jaccard similarity lie on average, were they of one size."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+def block_width(rows: int) -> int:
+    """Bits of a block, so that a bucket holds about sixteen texts by chance at most, however many there are."""
+    return max(LEAST_WIDTH, rows.bit_length() - 4)
+
+
+def block_count(similarity: float, width: int, recall: float = 0.99) -> int:
+    """Blocks of ``width`` bits of which sets of ``similarity`` share one with a chance of ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - bit_share(similarity)) ** width)))
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -89,15 +123,43 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """(doc_id, fp array<long>) of every row; null text counts as empty."""
+def sketches(docs: DataFrame, size: int, blocks: int, width: int) -> DataFrame:
+    """(doc_id, of, fp, keys) of every row: a digest of its set of shingles, what buckets compare, and its blocks.
+
+    Null text counts as empty; a text without words has no blocks.
+    """
+    words = max(CHECK_WORDS, math.ceil(blocks * width / 64))
+    places = np.int64(1) << np.arange(width, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, fps, keys = [], [], []
+            for text in b.column(1).to_pylist():
+                hashes = shingle_set(text, size)
+                fp = wide_fingerprint(hashes, words)
+                bits = np.unpackbits(fp.view(np.uint8), bitorder="little")[: blocks * width].reshape(blocks, width)
+                of.append(hashlib.md5(hashes.tobytes()).digest())
+                fps.append(fp[:CHECK_WORDS].view(np.int64))
+                keys.append(bits @ places if len(hashes) else [])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of, pa.binary()), pa.array(fps, longs), pa.array(keys, longs)], ["doc_id", "of", "fp", "keys"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, of binary, fp array<long>, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes binary) of the ``wanted`` nodes (node, of, least), read again from their least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(t, size, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])
+            raw = [shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()]
+            of = [hashlib.md5(r).digest() for r in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), pa.array(raw, pa.binary())], ["of", "hashes"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp array<long>")
+    rows = texts(docs)
+    rows = rows.join(wanted.select("least").distinct(), rows.doc_id.eqNullSafe(F.col("least")), "left_semi")
+    # several rows where a doc_id repeats with its text
+    return rows.mapInArrow(run, "of binary, hashes binary").join(wanted.select("node", "of"), "of").select("node", "hashes").dropDuplicates(["node"])
 
 
 def block_masks(distance: int) -> list[int]:
@@ -113,11 +175,6 @@ def block_masks(distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in unsigned]
 
 
-def wide_blocks(fp: Column, words: int, bits: int) -> list[Column]:
-    """The fingerprint's blocks of ``bits`` bits, a divisor of 64, as longs."""
-    return [F.shiftrightunsigned(fp[w], at).bitwiseAND(F.lit((1 << bits) - 1)) for w in range(words) for at in range(0, 64, bits)]
-
-
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
@@ -150,15 +207,17 @@ def _any_close(fps: np.ndarray, group: np.ndarray, sizes: np.ndarray, distance:
     return hit
 
 
-def links(entries: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
-    """(u, v) links between nodes; their components are those of all close pairs that share a block.
+Found = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
+
+
+def _meet(entries: DataFrame, chunk: int, found: Found, schema: str) -> DataFrame:
+    """What ``found`` makes of whole buckets: keys, nodes and fingerprints of their rows, and where each begins.
 
     ``entries``: t, k, node, fp array<long>; nodes with equal ``k`` in table
     ``t`` meet.  A bucket of over ``chunk`` members is dealt out as pairs of
     chunks: each pair of its members meets in some task and no task holds more
     than about two chunks.  Such buckets are few, at most one for ``chunk``
-    entries, so only their sizes are joined back, and a bucket gives a spanning
-    forest rather than all pairs.
+    entries, so only their sizes are joined back.
     """
     large = stored(entries.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "buckets")
     placed = (
@@ -175,7 +234,7 @@ def links(entries: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
         n = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            """The links of all whole buckets held; the last one may go on."""
+            """What all whole buckets held give; the last one may go on."""
             nonlocal held, n
             key, node, fp = (np.concatenate(c) for c in zip(*held))
             starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
@@ -184,16 +243,7 @@ def links(entries: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
             starts = starts[starts < upto]
             if not len(starts):
                 return
-            sizes = np.diff(np.append(starts, upto))
-            group = np.repeat(np.arange(len(starts)), sizes)
-            close = np.flatnonzero(_any_close(fp[:upto], group, sizes, distance))
-            u, v = [], []
-            for s, size in zip(starts[close].tolist(), sizes[close].tolist()):
-                a, b = spanning_links(fp[s : s + size], distance)
-                u += node[s + np.array(a, np.int64)].tolist()
-                v += node[s + np.array(b, np.int64)].tolist()
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            yield from found(key[:upto], node[:upto], fp[:upto], starts)
 
         for batch in batches:
             if batch.num_rows:
@@ -207,7 +257,66 @@ def links(entries: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
             yield from flush(last=True)
 
     keys = ["t", "k", "i", "j"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def links(entries: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
+    """(u, v) links between nodes; their components are those of all close pairs that share a block.
+
+    ``entries`` meet as in ``_meet``; a bucket gives a spanning forest rather
+    than all pairs.
+    """
+
+    def found(key: np.ndarray, node: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for s, e in _close_buckets(fp, starts, distance):
+            a, b = spanning_links(fp[s:e], distance)
+            u += node[s + np.array(a, np.int64)].tolist()
+            v += node[s + np.array(b, np.int64)].tolist()
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return _meet(entries, chunk, found, "u long, v long")
+
+
+def _close_buckets(fp: np.ndarray, starts: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of the buckets that may hold a close pair."""
+    ends = np.append(starts[1:], len(fp))
+    sizes = ends - starts
+    close = np.flatnonzero(_any_close(fp, np.repeat(np.arange(len(starts)), sizes), sizes, distance))
+    return zip(starts[close].tolist(), ends[close].tolist())
+
+
+def candidates(entries: DataFrame, near: int, net: int, chunk: int = CHUNK) -> DataFrame:
+    """(g, u, v) of what shares a block: links (null g) of nodes within ``near``, and members u of groups (null v).
+
+    A group is a set of nodes of one bucket held together by pairs within
+    ``net``, so every such pair that shares a block is in a group.  Both are
+    guesses by fingerprint; a group has a row for each member, not each pair.
+    """
+
+    def found(key: np.ndarray, node: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, u, v = [], [], []
+        for s, e in _close_buckets(fp, starts, net):
+            kin = np.arange(e - s)
+            for a, b in zip(*spanning_links(fp[s:e], net)):  # from the root outwards
+                kin[b] = kin[a]
+            for root in np.unique(kin).tolist():
+                rows = s + np.flatnonzero(kin == root)
+                if len(rows) == 1:
+                    continue
+                a, b = spanning_links(fp[rows], near)
+                g += [None] * len(a)
+                u += node[rows[a]].tolist() if a else []
+                v += node[rows[b]].tolist() if b else []
+                of = xxhash.xxh64_intdigest(np.append(key[s], node[s + root]).tobytes())
+                g += [of - (1 << 63)] * len(rows)
+                u += node[rows].tolist()
+                v += [None] * len(rows)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (g, u, v)], ["g", "u", "v"])
+
+    return _meet(entries, chunk, found, "g long, u long, v long")
 
 
 def _entries(nodes: DataFrame, keys: list[Column]) -> DataFrame:
@@ -243,32 +352,115 @@ def _named(least: DataFrame, node: str, linked: DataFrame) -> DataFrame:
     return classes.join(named, "component").select(node, "component_id")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 8, block: int = 16, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, component_id) of every document, linked where sets of five-word shingles are alike.
+def _star(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the members of ``classes`` that are as similar to their representative as asked.
+
+    The representative of a large class meets its members in several copies, one for ``STAR`` of them.
+    """
 
-    Two documents are linked if their wide fingerprints share a block of
-    ``block`` bits and differ in no more bits than sets of ``similarity`` do on
-    average.  With 512 bits a document's likeness is read off within about
-    0.03; sharing a block is as good as sure from 0.9 on and has a chance of
-    nine in ten at 0.8.  A bucket holds about one document in 2^``block``, so a
-    much larger corpus calls for wider blocks and more ``words``.
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        of = lambda raw: np.frombuffer(raw, np.uint64)
+        return pd.Series([jaccard(of(x), of(y)) >= similarity for x, y in zip(a, b)], dtype=bool)
 
-    Otherwise as ``near_duplicates``.
+    copies = classes.groupBy("component").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"))
+    centre = copies.join(sets.select(F.col("node").alias("component"), F.col("hashes").alias("centre")), "component")
+    centre = centre.select("component", "centre", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    members = classes.join(copies, "component").select("node", "component", F.expr("cast(pmod(xxhash64(node), copies) as int)").alias("copy"))
+    met = members.join(sets, "node").join(centre, ["component", "copy"])
+    return met.where(alike("hashes", "centre")).select("node", "component")
+
+
+def _settle(contested: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) links of nodes as similar as asked within groups: g, node, label, hashes.
+
+    Nodes of one label are linked already.  A group gives no link between nodes that its links join.
     """
-    fps = stored(wide_fingerprints(docs, size, words), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    entries = _entries(nodes.select("node", "fp"), wide_blocks(F.col("fp"), words, block))
-    linked = components(links(entries, bits_apart(similarity, 64 * words), chunk))
-    named = nodes.select("node", "fp").join(_named(nodes.select("node", "least"), "node", linked), "node")
-    return fps.join(named, "fp").select("doc_id", "component_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled() -> Iterator[pa.RecordBatch]:
+            up = {label: label for _, label, _ in held}
+
+            def top(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            held.sort(key=lambda m: len(m[2]))
+            u, v = [], []
+            for i, (a, la, x) in enumerate(held):
+                for b, lb, y in held[i + 1 :]:
+                    if len(x) < similarity * len(y):
+                        break
+                    if top(la) != top(lb) and jaccard(x, y) >= similarity:
+                        up[top(la)] = top(lb)
+                        u.append(a)
+                        v.append(b)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        held: list[tuple[int, int, np.ndarray]] = []
+        at = None
+        for batch in batches:
+            for g, node, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != at:
+                    yield from settled()
+                    held, at = [], g
+                held.append((node, label, np.frombuffer(raw, np.uint64)))
+        yield from settled()
+
+    return contested.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, component_id) of every document, linked where sets of five-word shingles reach ``similarity``.
+
+    Wide fingerprints cast the net: texts meet where they share a block of bits,
+    in so many blocks that a pair of exactly ``similarity`` shares one with a
+    chance of 0.99, and of such a width that a bucket's chance members stay few
+    at any number of rows.  Every link is then verified by the exact Jaccard
+    similarity of the two sets (of 64-bit hashes): classes by fingerprint
+    against their representative first, then all pairs which those links leave
+    apart in the groups that a bucket's fingerprints form.  So no pair below ``similarity`` is
+    linked, and a pair from it on is joined whenever it meets.
+
+    Texts without words are equal.  Null text counts as empty; a null doc_id
+    keeps its row and never names a component that has another id.  Repeated
+    rows stay; very long texts are read whole; other columns are not read; an
+    empty table gives no rows.
+    """
+    width = block_width(docs.count())
+    rows = stored(sketches(docs, size, block_count(similarity, width), width), "sketches")
+    nodes = rows.groupBy("of").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select("node", "fp", F.posexplode("keys").alias("t", "k")).select("t", "k", "node", "fp")
+    bits = 64 * CHECK_WORDS
+    met = stored(candidates(entries, bits_apart(similarity, bits), bits_apart(similarity, bits, 3.5), chunk), "candidates")
+    classes = stored(components(met.where("g is null").select("u", "v")), "classes")
+    wanted = met.select(F.col("u").alias("node")).union(met.where("v is not null").select("v")).distinct()
+    sets = stored(shingle_sets(docs, nodes.select("node", "of", "least").join(wanted, "node"), size), "sets")
+    star = stored(_star(classes, sets, similarity), "star")
+    groups = met.where("v is null").select("g", F.col("u").alias("node")).join(star, "node", "left")
+    groups = groups.select("g", "node", F.coalesce("component", "node").alias("label"))
+    open_ = groups.groupBy("g").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("g")
+    contested = groups.join(open_, "g").join(sets, "node").select("g", "node", "label", "hashes")
+    verified = star.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_settle(contested, similarity))
+    verified = stored(verified, "verified")
+    for done in (met, classes, sets, star):
+        drop_stored(done)
+    linked = components(verified)
+    named = nodes.select("node", "of").join(_named(nodes.select("node", "least"), "node", linked), "node")
+    return rows.select("doc_id", "of").join(named, "of").select("doc_id", "component_id")
 
 
 def survivors(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The documents that stand for their components under ``similar``: one row of each, whole and unchanged.
 
     The smallest doc_id stays.  Rows that share a doc_id stand or fall together;
-    rows without one stay if no row of their component has an id.
+    rows without one stay if no row of their component has an id.  Null texts
+    count as empty ones, which are alike; very long texts are compared whole.
+    Other columns pass unchanged, whatever their names; an empty table gives no
+    rows.
     """
     found = similar(docs, similarity, size)
     kept = fresh(docs, "kept_id")
