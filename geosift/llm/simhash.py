@@ -148,7 +148,11 @@ def sketches(docs: DataFrame, size: int, blocks: int, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes binary) of the ``wanted`` nodes (node, of, least), read again from their least document."""
+    """(node, hashes binary) of the ``wanted`` nodes (node, of, least), read again from their least document.
+
+    Written out, ``wanted`` has a known size: Spark ships its ids to the texts if they are few, else both by id.
+    """
+    wanted = stored(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -464,5 +468,6 @@ def survivors(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFr
     """
     found = similar(docs, similarity, size)
     kept = fresh(docs, "kept_id")
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    # written out, the ids have a known size, so that Spark need not shuffle the texts where they are few
+    keep = stored(found.where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct(), "kept")
     return docs.join(keep, docs.doc_id.eqNullSafe(keep[kept]), "left_semi")
