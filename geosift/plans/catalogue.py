@@ -628,7 +628,7 @@ def _k(before: str, after: str = "") -> Column:
     return F.concat(F.lit(before), F.col("k").cast("string"), F.lit(after))
 
 
-#: What a text of each layout holds, in SQL, for the number k; 375 is a phone's country code wherever it stands in a line.
+#: What a text of each layout holds, in SQL, for the number k.
 _LAYOUT_VALUES = {
     "repeated town": "'220020, г. Минск, ул. Мира, ' || k",
     "repeated parts": "'220020, г. Минск, ул. Мира ' || k",
@@ -640,7 +640,16 @@ _LAYOUT_VALUES = {
     "name with an address": "'Цех переработки ' || k",
     "name with a service phrase": "'Линия №' || k",
     "name with the waste": "'Установка ' || k",
-    "owner among lines": "CASE WHEN contains(cast(k AS varchar), '375') THEN '' ELSE 'ООО \"Лидер ' || k || '\"' END",
+    "owner among lines": "'ООО \"Лидер ' || k || '\"'",
+    "owner's blob": "'ООО Луч ' || k",
+    "owner in a part": "'завод \"Луч ' || k",
+    "owner among fields": "'ООО \"Дом ' || k",
+    "owner without a label": "'ООО \"Луч ' || k || '\"' || chr(10) || 'филиал'",
+    "object among lines": "'Мобильная дробильная установка ' || k",
+    "tail of a page": "'ул. Мира ' || k",
+    "street in a text": "'ул. Мира, ' || k || ', корп. 2, кв. 3'",
+    "town that is a number": "'222310, ул. Новая, ' || k",
+    "town cut off": "'222310, д.5, ул. Мира, ' || k || ', г. Брест'",
     "phone before a date": "'(029) 5' || lpad(cast(k AS varchar), 6, '0')",
     "ticked box": "CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END",
     "code line": "'1' || lpad(cast(k AS varchar), 6, '0')",
@@ -651,6 +660,7 @@ _LAYOUT_VALUES = {
 def _layouts() -> dict[str, Column]:
     """What is read from a text of each layout."""
     from ..functions import extract as X
+    from .parse import guessed_owner
 
     none, six = F.lit(""), F.lpad(F.col("k").cast("string"), 6, "0")
     return {
@@ -665,6 +675,15 @@ def _layouts() -> dict[str, Column]:
         "name with a service phrase": X.clean_object_name(_k("принимает отходы от других Линия №"), none),
         "name with the waste": X.clean_object_name(_k("Бой бетона Установка "), F.lit("Бой бетона")),
         "owner among lines": X.canonical_owner(_k('Управление\nООО "Лидер ', '"\nг. Минск\nтел. 22')),
+        "owner's blob": X.clean_owner(_k("ООО\u00a0 Луч\n", "\nтел. 22")),
+        "owner in a part": X.owner_hint(_k('просто слова, завод "Луч ', '"; г. Минск')),
+        "owner among fields": X.owner_name(F.lit("Управление"), _k('цех, ООО "Дом ', '"'), F.lit("")),
+        "owner without a label": guessed_owner(F.array(F.lit("слова"), _k('ООО "Луч ', '"'), F.lit("филиал"), F.lit("Объект"), F.lit("линия"))),
+        "object among lines": X.canonical_object(_k("Площадка по хранению\nМобильная дробильная установка ", "\nв соответствии с нормами"), none),
+        "tail of a page": X.trim_tail(_k("ул. Мира ", " 3 мая 2024 г. Страница 1 из 9 Луг")),
+        "street in a text": X.address_hint(_k("цех, ул. Мира, ", ", корп. 2, кв. 3, этаж 4")),
+        "town that is a number": X.repair_address(F.lit("222310, г.8"), _k("ООО ул. Новая, "), none),
+        "town cut off": X.repair_truncated_town(_k("222310, д.5, ул. Мира, ", ", г."), F.lit("г. Брест")),
         "phone before a date": X.phones(F.concat(F.lit("(029) 5"), six, F.lit(" 2 апреля")), F.lit(None).cast("string")),
         "ticked box": F.when(X.accepts_external(F.when(F.col("k") % 2 == 0, _k("", " ☐ ☑")).otherwise(_k("", " ☑ ☐"))), "yes").otherwise("no"),
         "code line": X.code_line(F.concat(F.lit("| 1"), six, F.lit("Отходы")))["code"],
@@ -672,14 +691,14 @@ def _layouts() -> dict[str, Column]:
     }
 
 
-@query(" UNION ALL ".join(f"SELECT k, '{name}' AS layout, {want} AS value FROM (SELECT c_custkey % 10000 AS k FROM customer)" for name, want in _LAYOUT_VALUES.items()))
+@query(" UNION ALL ".join(f"SELECT k, '{name.replace(chr(39), chr(39) * 2)}' AS layout, {want} AS value FROM (SELECT c_custkey AS k FROM customer)" for name, want in _LAYOUT_VALUES.items()))
 def register_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single fields in the register's awkward layouts, a text of each layout for each customer; k is its key's last four digits."""
+    """Single fields in the register's awkward layouts, a text of each layout for each customer; k is its key."""
     each = F.array(*[F.struct(F.lit(name).alias("layout"), value.alias("value")) for name, value in _layouts().items()])
-    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10000).alias("k")).select("k", F.inline(each))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.inline(each))
 
 
-#: What is shown of a text of each kind, in SQL, for the number k, below 300, so that none reads as the country code 375.
+#: What is shown of a text of each kind, in SQL, for the number k.
 _SHOWN_VALUES = {
     "waste with a remark": "'Бой бетона ' || k",
     "waste with an address": "'Лом ' || k",
@@ -690,6 +709,10 @@ _SHOWN_VALUES = {
     "address with a repeat": "'г. Минск, ул. Мира, ' || k",
     "address with an owner": "'г. Брест, ул. Лесная, ' || k",
     "owner with a page's foot": "'ООО \"Луч ' || k || '\"'",
+    "owner of a branch": "'филиал ООО \"Лучистый дом ' || k || '\"'",
+    "owner by a general word": "'ООО \"Дом ' || k || '\"'",
+    "owner from other fields": "'завод \"Луч ' || k || '\"'",
+    "owner with services": "'ОАО \"Камень ' || k || '\"'",
     "phone without marks": "'+375 (29) ' || substring(d, 1, 3) || '-' || substring(d, 4, 2) || '-' || substring(d, 6, 2)",
     "phone in two forms": "'+375 (29) ' || substring(d, 1, 3) || '-' || substring(d, 4, 2) || '-' || substring(d, 6, 2)",
     "phones glued": "'+375 (152) 22-' || substring(d, 4, 2) || '-' || substring(d, 6, 2) || chr(10) || '+375 (152) 33-' || substring(d, 4, 2) || '-' || substring(d, 6, 2)",
@@ -713,6 +736,10 @@ def _shown() -> dict[str, Column]:
         "address with a repeat": D.address(_k("220030, г. Минск, ул. Мира, ", ", г. Минск")),
         "address with an owner": D.address(_k("г. Брест, ул. Лесная, ", " Собственник ООО")),
         "owner with a page's foot": D.owner(_k('ООО "Луч ', '" 1 мая 2024 г. Страница 3 из 9')),
+        "owner of a branch": D.owner(_k('Филиол ООО "Лучистый дом ', '", г. Минск')),
+        "owner by a general word": D.owner(F.lit("управление"), _k('цех ООО "Дом ', '"'), none),
+        "owner from other fields": D.owner(none, _k('завод "Луч ', '", ул. Мира'), F.lit("г. Брест")),
+        "owner with services": D.owner(_k('ОАО "Камень ', '" использует собственные отходы')),
         "phone without marks": D.phones(F.concat(F.lit("8029"), digits)),
         "phone in two forms": D.phones(F.concat(F.lit("(029) "), digits, F.lit("; +375 29 "), digits)),
         "phones glued": D.phones(F.concat(F.lit("(0152) 22"), last, F.lit("33"), last)),
@@ -721,13 +748,13 @@ def _shown() -> dict[str, Column]:
 
 
 @query(" UNION ALL ".join(
-    f"SELECT k, '{name.replace(chr(39), chr(39) * 2)}' AS layout, {want} AS value FROM (SELECT c_custkey % 300 AS k, '1' || lpad(cast(c_custkey % 300 AS varchar), 6, '0') AS d FROM customer)"
+    f"SELECT k, '{name.replace(chr(39), chr(39) * 2)}' AS layout, {want} AS value FROM (SELECT c_custkey AS k, '1' || lpad(cast(c_custkey AS varchar), 6, '0') AS d FROM customer)"
     for name, want in _SHOWN_VALUES.items()
 ).replace("{unknown}", UNKNOWN))
 def display_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as the pages show them, one of each kind for each customer; k is its key's rest by 300."""
+    """Texts as the pages show them, one of each kind for each customer; k is its key."""
     each = F.array(*[F.struct(F.lit(name).alias("layout"), value.alias("value")) for name, value in _shown().items()])
-    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 300).alias("k")).select("k", F.inline(each))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.inline(each))
 
 
 @query(r"""SELECT c_custkey AS pk, CASE c_custkey % 3 WHEN 0 THEN 52.45::double WHEN 2 THEN 55.15::double ELSE n_nationkey::double END AS lat
