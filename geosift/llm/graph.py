@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored
 
 
+def _each(edges: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """An edge (u, v) for each of the given pairs of columns; no union, which would part again what one task holds."""
+    return edges.select(F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends))).alias("x")).select("x.*")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with the least neighbour of u; pre-aggregated before the shuffle."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -15,7 +20,7 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _each(edges, ("u", "v"), ("v", "u"))
     near = _with_least(both).select("u", "v", F.least("u", "m").alias("m")).where("v > u")
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
@@ -23,17 +28,24 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     near = _with_least(down)
-    moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(near.select("u", F.col("m").alias("v")))
+    return _each(near, ("v", "m"), ("u", "m")).where("u <> v")
 
 
 def _open(edges: DataFrame) -> bool:
     """Whether distinct edges, each from the greater node to the lesser, are more than stars: a node with two lesser ones, or one between others."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = edges.select(F.explode(F.expr("array(struct(u as node, 1 as up, 0 as down), struct(v as node, 0 as up, 1 as down))")).alias("x")).select("x.*")
     nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     return nodes.where("up > 1 or up = 1 and down = 1").limit(1).count() > 0
 
 
+#: Edges up to which a round runs in one task, without a shuffle: 1 MB of longs, as Spark's own merging of small partitions would have it.
+FEW_EDGES = 1 << 16
+
+
+def _together(edges: DataFrame) -> DataFrame:
+    return edges.coalesce(1) if edges.count() <= FEW_EDGES else edges
+
+
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): every node of an edge with the least node it can reach.
 
@@ -44,8 +56,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     now = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    while _open(now):
-        new = stored(_small_star(_large_star(now).distinct()).distinct(), "edges")
+    while _open(near := _together(now)):
+        new = stored(_small_star(_large_star(near).distinct()).distinct(), "edges")
         drop_stored(now)
         now = new
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

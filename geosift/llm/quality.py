@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
 
     Of rows that repeat a doc_id the one whose text has the least digest counts.
     Documents go by hash until their features reach ``fit_bytes``, so what the
-    driver holds is bounded, long texts or not.  Every fourth one is held back
+    task that fits holds is bounded, long texts or not; the driver gets the
+    model alone.  Every fourth one is held back
     for the calibration.  None when the labels don't hold both classes.
     """
     small_batches(docs.sparkSession)
@@ -191,16 +192,26 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     rows = stored(rows.withColumn("turn", F.xxhash64("doc_id")), "quality-features")
     size = F.sum(F.octet_length("buckets") + F.octet_length("shares")).over(Window.orderBy("turn", "doc_id"))
     within = rows.select("doc_id", size.alias("size")).where(F.col("size") <= fit_bytes).select("doc_id")  # at most fit_rows rows of two numbers
-    taken = rows.join(F.broadcast(within), "doc_id").toArrow().sort_by("doc_id")
+    taken = rows.join(F.broadcast(within), "doc_id").select("doc_id", "quality", "buckets", "shares")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        got = pa.Table.from_batches(held).sort_by("doc_id")
+        good = got["quality"].to_numpy() > 0
+        made = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(got["buckets"], got["shares"])]
+        held = np.arange(len(made)) % 4 == 3
+        if len({*good[~held].tolist()}) < 2:
+            return
+        model = fit([m for m, h in zip(made, held) if not h], good[~held])
+        scores = np.array([float(model.weights[i] @ v) + model.bias for (i, v), h in zip(made, held) if h])
+        model = calibrate(model, scores, good[held])
+        row = {"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "intercept": model.intercept}
+        yield pa.RecordBatch.from_pylist([row])
+
+    learnt = taken.coalesce(1).mapInArrow(learn, "weights binary, bias double, slope double, intercept double").collect()
     drop_stored(rows)
-    good = taken["quality"].to_numpy() > 0
-    made = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(taken["buckets"], taken["shares"])]
-    held = np.arange(len(made)) % 4 == 3
-    if len({*good[~held].tolist()}) < 2:
-        return None
-    model = fit([m for m, h in zip(made, held) if not h], good[~held])
-    scores = np.array([float(model.weights[i] @ v) + model.bias for (i, v), h in zip(made, held) if h])
-    return calibrate(model, scores, good[held])
+    return next((Model(np.frombuffer(m.weights, np.float32), m.bias, m.slope, m.intercept) for m in learnt), None)
 
 
 def judge(raw: bytes, model: Model | None, least_quality: float, least_words: int, most_repeated: int) -> tuple:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, texts
+from .common import attached, fresh, stored, texts
 from .spans import SPANS, summary
 
 #: The base kinds, then those that linking adds.
@@ -148,7 +148,7 @@ def redacted(docs: DataFrame, scope: int = 400) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, _digest() == F.col(of), "left").withColumn("text", mask("text", spans_of))
+    joined = attached(docs, found, _digest(), of).withColumn("text", mask("text", spans_of))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, stored, texts
+from .common import FEW, attached, drop_stored, fresh, maybe_in, stored, texts
 from .graph import components
 
 SEED = 42
@@ -150,7 +150,7 @@ def sketches(docs: DataFrame, size: int, blocks: int, width: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, hashes binary) of the ``wanted`` nodes (node, of, least), read again from their least document.
 
-    Written out, ``wanted`` has a known size: Spark ships its ids to the texts if they are few, else both by id.
+    Written out, ``wanted`` has a known size: Spark ships its ids to the texts if they are few, else both by id, of the texts those that a filter lets through.
     """
     wanted = stored(wanted, "wanted")
 
@@ -161,9 +161,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), pa.array(raw, pa.binary())], ["of", "hashes"])
 
     rows = texts(docs)
+    if wanted.count() > FEW:
+        rows = rows.where(maybe_in(wanted.select("least"))(rows.doc_id))
     rows = rows.join(wanted.select("least").distinct(), rows.doc_id.eqNullSafe(F.col("least")), "left_semi")
-    # several rows where a doc_id repeats with its text
-    return rows.mapInArrow(run, "of binary, hashes binary").join(wanted.select("node", "of"), "of").select("node", "hashes").dropDuplicates(["node"])
+    # several rows where a doc_id repeats with its text; the join needs them by the same key
+    return rows.mapInArrow(run, "of binary, hashes binary").dropDuplicates(["of"]).join(wanted.select("node", "of"), "of").select("node", "hashes")
 
 
 def block_masks(distance: int) -> list[int]:
@@ -467,7 +469,6 @@ def survivors(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFr
     rows.
     """
     found = similar(docs, similarity, size)
-    kept = fresh(docs, "kept_id")
-    # written out, the ids have a known size, so that Spark need not shuffle the texts where they are few
-    keep = stored(found.where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct(), "kept")
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep[kept]), "left_semi")
+    gone = fresh(docs, "gone_id")
+    stays = found.groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.expr("doc_id <=> component_id")).alias("stays"))
+    return attached(docs, stored(stays.where("not stays").select(gone), "gone"), docs.doc_id, gone, "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, small_batches, stored
+from .common import FEW, attached, drop_stored, fresh, maybe_in, small_batches, stored
 from .runindex import RunIndex, long_repeats
 
 LEAST = 400
@@ -237,10 +237,12 @@ def scan(docs: DataFrame, windows: Windows) -> DataFrame:
     return _content(docs, ByteWindows()).mapInArrow(run, SCANNED)
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
+def _cut(docs: DataFrame, by_text: DataFrame, windows: Windows) -> DataFrame:
     """(h, i, j, d, snippet) of the wanted surroundings, cut out of one text that holds each."""
-    by_text = wanted.groupBy("content", "doc_id").agg(F.collect_list(F.struct("h", "d", "a", "z", "c", "x")).alias("cuts"))
-    texts = _content(docs, windows).join(
+    texts = _content(docs, windows)
+    if by_text.count() > FEW:
+        texts = texts.where(maybe_in(by_text.select("doc_id"))(texts.doc_id))
+    texts = texts.join(
         by_text.select(F.col("content").alias("of"), F.col("doc_id").alias("of_id"), "cuts"),
         F.col("content").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")),
     )
@@ -296,7 +298,10 @@ def repeats(docs: DataFrame, windows: Windows) -> tuple[DataFrame, DataFrame]:
     """
     small_batches(docs.sparkSession)
     scanned = stored(scan(docs, windows), "scanned")
-    placed = scanned.select("content", "doc_id", F.inline("anchors"))
+    every = scanned.select("content", "doc_id", F.inline("anchors"))
+    twice = stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    # most anchors occur once, and the filter keeps those where they are
+    placed = every.where(maybe_in(twice)(every.h))
     kinds = placed.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("content", "doc_id", "a", "z")).alias("at"))
     shared = kinds.groupBy("h").agg(
         F.count("*").alias("variants"), F.sum("n").alias("places"), F.min("n").alias("rarest"), F.sum(F.expr("at.z - at.a")).alias("size")
@@ -305,13 +310,14 @@ def repeats(docs: DataFrame, windows: Windows) -> tuple[DataFrame, DataFrame]:
     # surroundings that occur twice are repeats from end to end, so only collections that hold others need an index
     wanted = known.where("variants > 1 and rarest = 1").withColumn("c", F.expr(f"cast(ceil(size / {CHUNK_BYTES}) as int)"))
     wanted = wanted.withColumn("x", F.expr("cast(pmod(xxhash64(d), c) as int)"))
-    inside = _index(_cut(docs, wanted, windows), windows)
+    by_text = stored(wanted.groupBy("content", "doc_id").agg(F.collect_list(F.struct("h", "d", "a", "z", "c", "x")).alias("cuts")), "cuts")
+    inside = _index(_cut(docs, by_text, windows), windows)
     whole = known.where("n > 1").select("h", "d", F.lit(0).alias("s"), F.expr("z - a").alias("e"))
     marks = stored(inside.union(whole), "marks")
-    drop_stored(known)
+    for done in (known, twice, by_text):
+        drop_stored(done)
     at = placed.join(marks, ["h", "d"]).select("content", "doc_id", F.expr("a + s").alias("s"), F.expr("a + e").alias("e"))
-    every = at.union(scanned.select("content", "doc_id", F.inline("own")))
-    spans = every.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = at.union(scanned.select("content", "doc_id", F.inline("own"))).groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("s", "e")).alias("spans"))
     return scanned, spans
 
 
@@ -394,7 +400,7 @@ def deduplicated(docs: DataFrame, windows: Windows | None = None) -> DataFrame:
         out = [t if t is None or g is None else windows.cut(t, _runs(g)) for t, g in zip(texts, gone)]
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, _digest(F.coalesce(F.col("text"), F.lit(""))) == F.col(of), "left").withColumn("text", cut("text", gone_of))
+    joined = attached(docs, found, _digest(F.coalesce(F.col("text"), F.lit(""))), of).withColumn("text", cut("text", gone_of))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)

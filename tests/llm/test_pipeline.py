@@ -1,13 +1,15 @@
 """The stages in turn, each against a plain version over what the one before it kept."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geosift.llm import packing, secrets, simhash
+from geosift.llm import common, graph, packing, quality, secrets, simhash, substring_dedup
 
 from .test_simhash import alike, plain_components, shingles
 from .test_substring import plain_word_marks
@@ -111,3 +113,64 @@ def test_overlapping_secrets_are_masked_once(spark):
 def test_survivors_keep_rows_without_an_id(spark):
     docs = spark.createDataFrame([(None, "only this one has no id"), (4, "a b c"), (4, "d e f")], "doc_id long, text string")
     assert simhash.survivors(docs).count() == 3
+
+
+def few(monkeypatch, rows=3):
+    """Tables of keys count as large from a few rows on; says what is joined."""
+    met = []
+
+    def known(keys, of=common.maybe_in):
+        met.append(keys.count())
+        return of(keys)
+
+    for module in (common, simhash, substring_dedup):
+        monkeypatch.setattr(module, "FEW", rows)
+        monkeypatch.setattr(module, "maybe_in", known)
+    return met
+
+
+def test_rows_that_meet_no_key_are_not_joined(spark, monkeypatch):
+    """The stages give the same where the tables of ids are filtered before the join, null ids and clashing names included."""
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    docs = docs.select(F.expr("if(doc_id % 97 = 0, null, cast(doc_id as int))").alias("doc_id"), "text", "n_chars", F.lit(2).alias("gone_id"))
+    stages = [("near", simhash.survivors), ("passages", substring_dedup.deduplicated), ("secrets", secrets.redacted)]
+    plain = {name: Counter(map(tuple, f(docs).collect())) for name, f in stages}
+    met = few(monkeypatch)
+    for name, f in stages:
+        met.clear()
+        assert Counter(map(tuple, f(docs).collect())) == plain[name]
+        assert max(met) > 3
+    rows = common.stored(docs.select("doc_id", "text"), "rows")
+    gone = common.stored(docs.where("doc_id % 5 = 0").select(F.col("doc_id").cast("long").alias("gone")), "gone")
+    joined = common.attached(rows, gone, rows.doc_id, "gone", "left_anti")
+    assert joined.count() == rows.where("doc_id is null or doc_id % 5 <> 0").count()
+    moved = rows.where(common.maybe_in(gone)(rows.doc_id.cast("long")))
+    assert gone.count() <= moved.count() < 1.1 * gone.count()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    ids = lambda: {str(b) for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split() if "shuffle_" in b}
+    before = ids()
+    counts = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not ids() - before:
+            break
+        time.sleep(0.1)
+    assert not ids() - before
+    assert counts.count() == 7
+
+
+def test_few_edges_take_no_shuffle(spark):
+    edges = spark.range(1, 3000).select(F.col("id").alias("u"), F.expr("id div 2").alias("v"))
+    for step in (graph._large_star, graph._small_star):
+        plan = step(graph._together(common.stored(edges, "edges"))).distinct()._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """The features of the labelled documents stay on the executors."""
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    docs, labels = (spark.read.parquet(f"{AT}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert model.weights.shape == (quality.GROUPS << quality.BITS,) and model.slope > 0
