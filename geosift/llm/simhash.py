@@ -213,11 +213,43 @@ def _any_close(fps: np.ndarray, group: np.ndarray, sizes: np.ndarray, distance:
     return hit
 
 
+def _chunk_links(fps: np.ndarray, x: np.ndarray, i: int, j: int, distance: int) -> tuple[list[int], list[int]]:
+    """Links over the rows of chunks ``i`` and ``j`` (``x`` tells which) within ``distance``, those of a chunk with itself in one of its pairs only.
+
+    Over all pairs of chunks their components are those of all close pairs, yet a
+    bucket of one group gives about a link a member and one a pair of chunks.
+    """
+    a, b = spanning_links(fps, distance)
+    if i == j or not a:
+        return a, b
+    kin, u, v = np.arange(len(fps)), [], []
+    for part in (i, j):
+        rows = np.flatnonzero(x == part)
+        inner = [rows[ends] for ends in spanning_links(fps[rows], distance)] if len(rows) else [rows, rows]
+        for one, two in zip(*inner):  # from the root outwards
+            kin[two] = kin[one]
+        if i == 0 and (part == j or j == 1):
+            u += inner[0].tolist()
+            v += inner[1].tolist()
+    up = kin.tolist()
+    for one, two in zip(a, b):
+        tops = []
+        for k in (one, two):
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            tops.append(k)
+        if tops[0] != tops[1]:
+            up[tops[1]] = tops[0]
+            u.append(one)
+            v.append(two)
+    return u, v
+
+
 Found = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
 def _meet(entries: DataFrame, chunk: int, found: Found, schema: str) -> DataFrame:
-    """What ``found`` makes of whole buckets: keys, nodes and fingerprints of their rows, and where each begins.
+    """What ``found`` makes of whole buckets: keys (t, k, the pair of chunks, the row's own chunk), nodes and fingerprints of their rows, and where each begins.
 
     ``entries``: t, k, node, fp array<long>; nodes with equal ``k`` in table
     ``t`` meet.  A bucket of over ``chunk`` members is dealt out as pairs of
@@ -232,7 +264,7 @@ def _meet(entries: DataFrame, chunk: int, found: Found, schema: str) -> DataFram
         .withColumn("x", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         .where("c = 1 or x <> y")
-        .select("t", "k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "fp")
+        .select("t", "k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "node", "fp")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +275,7 @@ def _meet(entries: DataFrame, chunk: int, found: Found, schema: str) -> DataFram
             """What all whole buckets held give; the last one may go on."""
             nonlocal held, n
             key, node, fp = (np.concatenate(c) for c in zip(*held))
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            starts = np.flatnonzero(np.append(True, (key[1:, :4] != key[:-1, :4]).any(1)))
             upto = len(key) if last else starts[-1]
             held, n = ([], 0) if last else ([(key[upto:], node[upto:], fp[upto:])], 0)
             starts = starts[starts < upto]
@@ -253,8 +285,8 @@ def _meet(entries: DataFrame, chunk: int, found: Found, schema: str) -> DataFram
 
         for batch in batches:
             if batch.num_rows:
-                key = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], 1)
-                node, fp = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).flatten().to_numpy(zero_copy_only=False)
+                key = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], 1)
+                node, fp = batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).flatten().to_numpy(zero_copy_only=False)
                 held.append((key, node, fp.view(np.uint64).reshape(len(node), -1)))
                 n += len(node)
                 if n >= 1 << 15:
@@ -270,15 +302,16 @@ def links(entries: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
     """(u, v) links between nodes; their components are those of all close pairs that share a block.
 
     ``entries`` meet as in ``_meet``; a bucket gives a spanning forest rather
-    than all pairs.
+    than all pairs, as do all chunk pairs of a large one together where it is one group.
     """
 
     def found(key: np.ndarray, node: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         u, v = [], []
         for s, e in _close_buckets(fp, starts, distance):
-            a, b = spanning_links(fp[s:e], distance)
-            u += node[s + np.array(a, np.int64)].tolist()
-            v += node[s + np.array(b, np.int64)].tolist()
+            rows = s + np.argsort(node[s:e])  # the least node is the root, so many buckets give the same links
+            a, b = _chunk_links(fp[rows], key[rows, 4], *key[s, 2:4].tolist(), distance)
+            u += node[rows[a]].tolist() if a else []
+            v += node[rows[b]].tolist() if b else []
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -304,18 +337,19 @@ def candidates(entries: DataFrame, near: int, net: int, chunk: int = CHUNK) -> D
     def found(key: np.ndarray, node: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         g, u, v = [], [], []
         for s, e in _close_buckets(fp, starts, net):
+            order = s + np.argsort(node[s:e])  # the least node is the root, so many buckets give the same links
             kin = np.arange(e - s)
-            for a, b in zip(*spanning_links(fp[s:e], net)):  # from the root outwards
+            for a, b in zip(*spanning_links(fp[order], net)):  # from the root outwards
                 kin[b] = kin[a]
             for root in np.unique(kin).tolist():
-                rows = s + np.flatnonzero(kin == root)
+                rows = order[kin == root]
                 if len(rows) == 1:
                     continue
-                a, b = spanning_links(fp[rows], near)
+                a, b = _chunk_links(fp[rows], key[rows, 4], *key[s, 2:4].tolist(), near)
                 g += [None] * len(a)
                 u += node[rows[a]].tolist() if a else []
                 v += node[rows[b]].tolist() if b else []
-                of = xxhash.xxh64_intdigest(np.append(key[s], node[s + root]).tobytes())
+                of = xxhash.xxh64_intdigest(np.append(key[s, :4], node[order[root]]).tobytes())
                 g += [of - (1 << 63)] * len(rows)
                 u += node[rows].tolist()
                 v += [None] * len(rows)

@@ -177,3 +177,25 @@ def test_null_ids_and_empty_table(spark):
     docs = odd_docs(spark)
     assert simhash.near_duplicates(docs).count() == docs.count()
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_of_a_large_group_grow_with_its_members_not_with_its_pairs_of_chunks(spark):
+    """One bucket of 800 close nodes in 50 chunks: each pair of chunks gives about a link, each chunk's own links come once."""
+    rng = random.Random(6)
+    fps = [(1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(800)]
+    rows = [(0, 0, i, [f - (1 << 64) if f >> 63 else f]) for i, f in enumerate(fps)]
+    entries = spark.createDataFrame(rows, "t int, k long, node long, fp array<long>")
+    for found in (simhash.links(entries, 4, 16), simhash.candidates(entries, 4, 4, 16).where("g is null")):
+        assert found.count() <= 800 + 50 * 49 / 2
+        assert {r.component for r in graph.components(found).collect()} == {0} and graph.components(found).count() == 800
+
+
+def test_components_shrink_to_a_link_a_node_before_a_shuffle(spark):
+    rng = random.Random(7)
+    edges = {(a, b) for g in range(0, 900, 90) for a, b in ((g + rng.randrange(90), g + rng.randrange(90)) for _ in range(3000)) if a > b}
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    tops = plain_components(edges, {n for e in edges for n in e})
+    once = graph._forests(df.coalesce(1), 1 << 10).collect()
+    assert sorted(map(tuple, once)) == sorted((n, top) for n, top in tops.items() if n != top)
+    for few in (16, 1000, 1 << 16):
+        assert {r.node: r.component for r in graph.components(df, few=few).collect()} == tops
