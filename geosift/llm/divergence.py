@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count as numbers
 from operator import itemgetter
 from zlib import crc32
 
@@ -17,8 +18,8 @@ from .common import small_batches, stored
 
 #: Terms by group that a task indexes in memory before it spills a run.
 BLOCK_TERMS = 1 << 18
-#: Postings of one piece of a run; a merge holds about one piece of each run in memory.
-PIECE = 2048
+#: Postings of one piece of a run; a merge holds about one piece of each run in memory, and at least ``MERGED`` postings.
+PIECE, MERGED = 2048, 1 << 17
 #: Documents of a language that a kept term occurs in at least.
 LEAST_DOCUMENTS = 3
 #: Ranks of the terms of a group.
@@ -71,24 +72,30 @@ class Block:
             langs.setdefault(lang, []).append(source)
         for lang, sources in langs.items():
             groups = [self.groups[lang, source] for source in sources]
-            marks = [b"\0" + i.to_bytes(4, "big") for i in range(len(groups))]  # below any byte of a term, so whole keys sort as terms do
-            dealt: dict[int, list[bytes]] = {}
-            for posting in sorted(term + mark for mark, (counts, _) in zip(marks, groups) for term in counts):
-                dealt.setdefault(crc32(posting[:-5]) % shards, []).append(posting)
+            words = sorted(set().union(*(counts for counts, _ in groups)))
+            if not words:
+                continue
+            rank = {word: i for i, word in enumerate(words)}
+            dealt = np.fromiter((crc32(word) % shards for word in words), np.int64, len(words))
+            of = lambda each: np.concatenate([np.fromiter(each(*group), np.int64, len(group[0])) for group in groups])
+            code = of(lambda counts, _: map(rank.__getitem__, counts))
+            at = np.repeat(np.arange(len(groups)), [len(counts) for counts, _ in groups])
+            order = np.argsort((dealt[code] * len(words) + code) * len(groups) + at)
+            n, n_docs = of(lambda counts, _: counts.values())[order], of(lambda counts, docs: map(docs.__getitem__, counts))[order]
+            code, at = code[order], at[order]
+            turns = [0, *(np.flatnonzero(np.diff(dealt[code])) + 1).tolist(), len(code)]
             rows = []
-            for shard, own in dealt.items():
-                for s in range(0, len(own), PIECE):
-                    words = [posting[:-5] for posting in own[s : s + PIECE]]
-                    at = [int.from_bytes(posting[-4:], "big") for posting in own[s : s + PIECE]]
-                    names = sorted(set(at))
-                    place = {i: n for n, i in enumerate(names)}
+            for begin, end in zip(turns, turns[1:]):
+                for s in range(begin, end, PIECE):
+                    own = slice(s, min(s + PIECE, end))
+                    used, place = np.unique(at[own], return_inverse=True)
+                    terms_of = [words[i] for i in code[own].tolist()]
                     rows.append((
-                        shard, lang, words[0], [sources[i] for i in names], b" ".join(words), [place[i] for i in at],
-                        [groups[i][0][t] for t, i in zip(words, at)], [groups[i][1][t] for t, i in zip(words, at)],
+                        int(dealt[code[s]]), lang, terms_of[0], [sources[i] for i in used.tolist()], b" ".join(terms_of),
+                        place.astype(np.int32), n[own], n_docs[own],
                     ))
-            if rows:
-                kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in RUNS.split(", ")])
+            kinds = [pa.int32(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in RUNS.split(", ")])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -114,41 +121,66 @@ def spilled_runs(docs: DataFrame, shards: int, block: int = BLOCK_TERMS) -> Data
     return _documents(docs).mapInArrow(index, RUNS)
 
 
-def merged_runs(pieces: Iterator[tuple], least: int = LEAST_DOCUMENTS) -> Iterator[tuple[str, bytes, dict[str, int]]]:
-    """(lang, term, {source: occurrences}) of the terms in at least ``least`` documents of their language, merged by a heap.
+def merged_blocks(pieces: Iterator[tuple], least: int = LEAST_DOCUMENTS, most: int = MERGED) -> Iterator[tuple[str, list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(lang, terms, sources, term, source, occurrences) of the terms in at least ``least`` documents of their language, as runs are merged.
 
+    The last three are arrays with an element for each posting, by term and source: places in ``terms``, which go on in order, and in ``sources``.
     ``pieces``: (shard, lang, first term, sources, terms, each posting's source by
-    place, counts, docs), in order of shard, lang and first term.  A piece joins the heap once the merge reaches
-    its first term, so what is held at a time is one piece of each run about.
+    place, counts, docs), in order of shard, lang and first term.  Pieces gather
+    up to ``most`` postings, then what lies before the next piece's first term is
+    whole and goes on, so what is held at a time is twice one piece of each run about, or ``most``.
     """
-    heap: list[tuple] = []
     for key, group in _by(pieces, itemgetter(0, 1)):
-        term, found, docs = None, {}, 0
+        sources: defaultdict[str, int] = defaultdict(numbers().__next__)
+        ids: defaultdict[bytes, int] = defaultdict(numbers().__next__)
+        held: list[tuple[np.ndarray, ...]] = []
+        size, full = 0, most
 
         def upto(limit: bytes | None):
-            nonlocal term, found, docs
-            while heap and (limit is None or heap[0][0] < limit):
-                at, number, source, count, n, rest = heap[0]
-                if at != term:
-                    if docs >= least:
-                        yield key[1], term, found
-                    term, found, docs = at, {}, 0
-                found[source] = found.get(source, 0) + count
-                docs += n
-                after = next(rest, None)
-                if after is None:
-                    heapq.heappop(heap)
-                else:
-                    heapq.heapreplace(heap, (after[0], number, *after[1:], rest))
-
-        for number, (_, _, first, sources, words, at, counts, n_docs) in enumerate(group):
-            yield from upto(first)
-            rest = zip(words.split(b" "), map(sources.__getitem__, at), counts, n_docs)
-            word, *posting = next(rest)
-            heapq.heappush(heap, (word, number, *posting, rest))
+            """The terms before ``limit``; the others stay."""
+            nonlocal ids, held, size, full
+            terms = sorted(ids)
+            ranks = np.empty(len(terms), np.int64)
+            ranks[np.fromiter(map(ids.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+            term, source, n, n_docs = (np.concatenate(c) for c in zip(*held))
+            term = ranks[term]
+            whole = len(terms) if limit is None else bisect_left(terms, limit)
+            rest = term >= whole
+            ids = defaultdict(numbers(len(terms) - whole).__next__, zip(terms[whole:], range(len(terms) - whole)))
+            held = [(term[rest] - whole, source[rest], n[rest], n_docs[rest])]
+            size = len(held[0][0])
+            full = max(most, 2 * size)
+            term, source, n, n_docs = (c[~rest] for c in (term, source, n, n_docs))
+            of_docs = np.zeros(whole, np.int64)
+            np.add.at(of_docs, term, n_docs)
+            kept = of_docs >= least
+            wanted = kept[term]
+            code, n = term[wanted] * len(sources) + source[wanted], n[wanted]
+            if not len(code):
+                return
+            order = np.argsort(code)
+            code, n = code[order], n[order]
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            term, source = np.divmod(code[starts], len(sources))
+            place = np.cumsum(kept) - 1
+            yield key[1], [terms[i] for i in np.flatnonzero(kept).tolist()], list(sources), place[term], source, np.add.reduceat(n, starts)
+
+        for _, _, first, names, words, at, counts, n_docs in group:
+            if size >= full:
+                yield from upto(first)
+            own = np.fromiter(map(ids.__getitem__, words.split(b" ")), np.int64, len(at))
+            held.append((own, np.array([sources[name] for name in names], np.int64)[np.asarray(at)], np.asarray(counts), np.asarray(n_docs)))
+            size += len(at)
         yield from upto(None)
-        if docs >= least:
-            yield key[1], term, found
+
+
+def merged_runs(pieces: Iterator[tuple], least: int = LEAST_DOCUMENTS, most: int = MERGED) -> Iterator[tuple[str, bytes, dict[str, int]]]:
+    """(lang, term, {source: occurrences}) of ``merged_blocks``, term by term."""
+    for lang, terms, sources, term, source, n in merged_blocks(pieces, least, most):
+        found: list[dict[str, int]] = [{} for _ in terms]
+        for t, i, c in zip(term.tolist(), source.tolist(), n.tolist()):
+            found[t][sources[i]] = c
+        yield from ((lang, t, f) for t, f in zip(terms, found))
 
 
 def _by(rows: Iterator[tuple], key) -> Iterator[tuple]:
@@ -180,26 +212,24 @@ def frequencies(docs: DataFrame, shards: int | None = None, block: int = BLOCK_T
     small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in b.columns[5:]]
+            for i, head in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]))):
+                yield *head, *(values[at[i] : at[i + 1]] for at, values in lists)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            lang, term, source, count, total = zip(*out)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.string()), pa.array(count, pa.int64()), pa.array(total, pa.int64())],
-                [c.split()[0] for c in POSTINGS.split(", ")],
-            )
-
-        for lang, term, found in merged_runs(rows, least):
-            total = sum(found.values())
-            out.append((lang, term, None, total, total))
-            out += [(lang, term, source, count, total) for source, count in found.items()]
-            if len(out) >= 8192:
-                yield batch()
-                out.clear()
-        if out:
-            yield batch()
+        for lang, terms, sources, term, source, n in merged_blocks(pieces(batches), least):
+            total = np.zeros(len(terms), np.int64)
+            np.add.at(total, term, n)
+            of = np.concatenate([np.arange(len(terms)), term])
+            names = pa.array([*sources, None], pa.string()).take(pa.array(np.append(np.full(len(terms), len(sources)), source)))
+            columns = [
+                pa.repeat(pa.scalar(lang, pa.string()), len(of)), pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(of)),
+                names, pa.array(np.append(total, n)), pa.array(total[of]),
+            ]
+            whole = pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")])
+            yield from (whole.slice(s, 8192) for s in range(0, len(of), 8192))
 
     dealt = spilled_runs(docs, shards, block).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "first")
     return dealt.mapInArrow(merge, POSTINGS)

@@ -139,3 +139,38 @@ def test_pairs_in_small_pieces(spark, pairs, monkeypatch):
             if a[:2] == b[:2] and a is not b:
                 want[a[0], a[2], b[2]] += f(a[4], b[4]) - f(a[4], b[5]) - f(a[5], b[4]) + f(a[5], b[5])
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_a_spill_hashes_each_term_once_however_many_sources_have_it(monkeypatch):
+    seen = []
+    monkeypatch.setattr(divergence, "crc32", lambda word: seen.append(word) or len(word))
+    block = divergence.Block()
+    for i in range(20):
+        block.add("en", f"s{i}", "b a ccc a")
+    rows = [r for b in block.runs(2) for r in b.to_pylist()]
+    assert sorted(seen) == [b"a", b"b", b"ccc"]
+    assert len(rows) == 1 and rows[0]["shard"] == 1 and rows[0]["terms"].split() == [b"a"] * 20 + [b"b"] * 20 + [b"ccc"] * 20
+    assert rows[0]["at"] == [*range(20)] * 3 and rows[0]["counts"] == [2] * 20 + [1] * 40 and rows[0]["docs"] == [1] * 60
+
+
+@pytest.mark.parametrize("most", [1, 25, 10**6])
+def test_runs_merge_in_blocks_of_any_size(most):
+    """Terms that lie in many pieces are whole, whatever a merge holds; the least number of documents counts over all runs."""
+    import random
+
+    rng = random.Random(most)
+    counts, docs, pieces = defaultdict(Counter), Counter(), []
+    for run in range(30):
+        lang, names = rng.choice("pq"), rng.sample(["u", "v", "w", "é"], 3)
+        postings = sorted({(rng.choice([str(rng.randrange(40)), "ß"]).encode(), rng.randrange(3)) for _ in range(25)})
+        each = [(rng.randrange(1, 5), rng.randrange(1, 3)) for _ in postings]
+        for (w, i), (n, d) in zip(postings, each):
+            counts[lang, w][names[i]] += n
+            docs[lang, w] += d
+        for s in range(0, len(postings), 4):
+            words, at = zip(*postings[s : s + 4])
+            n, d = zip(*each[s : s + 4])
+            pieces.append((0, lang, words[0], names, b" ".join(words), at, n, d))
+    pieces.sort(key=lambda p: p[:3])
+    got = [(lang, w, found) for lang, w, found in divergence.merged_runs(iter(pieces), 20, most)]
+    assert got == [(lang, w, dict(counts[lang, w])) for lang, w in sorted(counts) if docs[lang, w] >= 20] and 0 < len(got) < len(counts)
