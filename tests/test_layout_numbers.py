@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geosift.functions import display as D
+from geosift.functions import extract as X
 from geosift.functions import patterns as P
 from geosift.plans import catalogue
 
@@ -58,3 +59,17 @@ def test_postcodes_still_end_shown_texts(one):
     assert one(D.waste_type, "Лом 220030 Минск") == "Лом" and one(D.waste_type, "Лом 375123 220030, ул. Мира") == "Лом 375123"
     assert one(D.object_name, "Цех 123456, Минская обл., д. Луг", "") == "Цех"
     assert one(D.owner, "", 'завод "Луч" 220030, ул. Мира', "") == 'завод "Луч"'
+
+
+def test_register_texts_as_in_sql(differing):
+    assert differing("register_layouts") == set()
+
+
+def test_postcodes_still_end_register_texts(one):
+    assert one(X.clean_object_name, "Цех переработки 220030 Минск", "") == "Цех переработки"
+    assert one(X.canonical_owner, 'ООО "Лидер" 220030,\nг. Минск') == "" and one(X.canonical_object, "Установка 123456\nг. Минск\nЦех", "") == "Цех"
+    assert one(X.owner_hint, 'завод "Луч" 220030, ул. Мира') == 'завод "Луч'
+    assert one(X.postal_lines, "Дом 220030\nг. Минск\nещё") == "Дом 220030, г. Минск" and one(X.postal_lines, "Дом 220030\nещё\n220100 Луг") == "220100 Луг"
+    whole, parted = (one(X.name_and_address, t) for t in ("Дробильная установка 123456, линия", "Дробильная установка 220030, г. Минск"))
+    assert (whole.name, whole.address) == ("Дробильная установка 123456, линия", "") and (parted.name, parted.address) == ("Дробильная установка", "220030, г. Минск")
+    assert one(X.trim_tail, "ул. Мира 123456789 Страница 1 из 9") == "ул. Мира 123456789" and one(X.trim_tail, "ул. Мира 123456789 и ещё") == "ул. Мира"
